@@ -93,3 +93,83 @@ posts AS (
 def with_posts(sql: str, *more_ctes: str) -> str:
     ctes = ",\n".join((POSTS_CTE.strip(),) + tuple(c.strip() for c in more_ctes))
     return f"WITH {ctes}\n{sql.strip()}"
+
+
+def _doc_id() -> F.Column:
+    return F.col("id").cast("bigint")
+
+
+# -- incoming batch (additive ingest) -------------------------------------------
+
+NEW_ID_OFFSET = 1_000_000
+
+
+def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even posts again (already stored) plus each one under a new id, twice.
+
+    The new id arrives at positions 1 and 2 with different text; position 1
+    must win.  Columns: post columns + ``batch`` + ``pos``.
+    """
+    p = posts(spark, sf_dir).where(_doc_id() % 2 == 0)
+    doc = _doc_id()
+    new_id = (doc + NEW_ID_OFFSET).cast("string")
+    again = p.withColumn("batch", F.lit(0)).withColumn("pos", doc * 3)
+    # pos is computed from the original id before the id is replaced
+    first = p.withColumn("batch", F.lit(0)).withColumn("pos", doc * 3 + 1).withColumn("id", new_id)
+    second = (p.withColumn("text", F.concat(F.lit("copy: "), F.col("text")))
+              .withColumn("batch", F.lit(0)).withColumn("pos", doc * 3 + 2).withColumn("id", new_id))
+    return again.unionByName(first).unionByName(second)
+
+
+# -- changes (upsert) -----------------------------------------------------------
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with doc_id % 4 = 0 in two versions (seq 0 stale, seq 1 final)."""
+    p = posts(spark, sf_dir).where(_doc_id() % 4 == 0)
+    stale = p.withColumn("summary", F.lit("stale")).withColumn("seq", F.lit(0))
+    final = p.withColumn("summary", F.concat(F.lit("updated "), F.col("id"))).withColumn("seq", F.lit(1))
+    return stale.unionByName(final)
+
+
+# -- content (backfill) and mapping (apply) -------------------------------------
+
+CONTENT_MODULUS = 34
+NOW = "2025-01-01T00:00:00+00:00"
+
+
+def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched content for half of the empty-text posts (doc_id % 34 = 0)."""
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % CONTENT_MODULUS == 0)
+    media = F.array(F.struct(F.lit(None).cast("string").alias("thumb"), F.lit("photo").alias("type"),
+                             F.concat(F.lit("https://media.example/"), F.col("doc_id").cast("string")).alias("url")))
+    return d.select(F.col("doc_id").cast("string").alias("id"), "text",
+                    F.concat(F.lit("fetched_"), F.col("source")).alias("author_handle"),
+                    F.concat(F.lit("Fetched "), F.col("source")).alias("author_name"),
+                    F.lit("2023-06-01T00:00:00").alias("created_at"), media.alias("media"))
+
+
+CONTENT_CTE = """
+content AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, text, 'fetched_' || source AS author_handle,
+         'Fetched ' || source AS author_name, '2023-06-01T00:00:00' AS created_at,
+         'https://media.example/' || CAST(doc_id AS VARCHAR) AS media_url
+  FROM documents WHERE doc_id % 34 = 0
+)"""
+
+
+def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session-produced enrichment for even doc_ids: (id, summary, topic, tags)."""
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
+    return d.select(F.col("doc_id").cast("string").alias("id"),
+                    F.left(F.col("text"), F.lit(40)).alias("summary"),
+                    F.col("lang").alias("topic"),
+                    F.array(F.upper(F.col("lang")), F.lit(" "), F.col("source")).alias("tags"))
+
+
+MAPPING_CTE = """
+mapping AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, left(text, 40) AS summary, lang AS topic,
+         [upper(lang), ' ', source] AS tags
+  FROM documents WHERE doc_id % 2 = 0
+)"""
