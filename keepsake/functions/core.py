@@ -182,63 +182,66 @@ def metric(metrics, key: str) -> Column:
 # -- dates ------------------------------------------------------------------
 
 
-def _epoch_to_iso(epoch: Column, offset_secs: Column, offset_text: Column) -> Column:
-    """Wall-clock ISO text at a given offset, independent of the session zone."""
-    local = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(
-        secs=(epoch + offset_secs).cast("decimal(18,6)"))
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset_text)
+# FIXED VALUES: English month abbreviations, in calendar order (RFC 2822).
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+
+
+def _month_number(name: Column) -> Column:
+    pos = F.instr(F.lit(MONTHS), F.lower(name))
+    return F.when((F.length(name) == 3) & (pos > 0) & (pos % 4 == 1), (pos + 3) / 4).cast("int")
+
+
+def _iso_text(wall: Column, micro: Column | None, offset: Column) -> Column:
+    frac = F.lit("") if micro is None else F.coalesce(micro, F.lit(""))
+    return F.when(wall.isNotNull(), F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), frac, offset))
 
 
 def parse_created_at(c) -> Column:
     """RFC-2822 / X-style / ISO text -> ISO-8601 text; NULL when unparseable.
 
-    The original UTC offset is kept in the output (``+00:00`` for ``Z`` and
-    ``+0000``); an ISO input without an offset stays naive.
+    The original UTC offset is kept (``+00:00`` for ``Z``/``+0000``); an ISO
+    input without an offset stays naive.  The wall clock is rebuilt from the
+    text fields (``try_make_timestamp_ntz``), so the session time zone never
+    matters.
     """
     s = strip_ws(F.coalesce(_c(c), F.lit("")))
     nowd = F.regexp_replace(s, r"^[A-Za-z]{3},? ", "")
-    # X style "Oct 10 20:19:24 +0000 2018" and RFC 2822 "10 Oct 2018 20:19:24 +0000".
-    m_x = r"^([A-Za-z]{3}) (\d{1,2}) (\d{2}):(\d{2}):(\d{2}) ([+-])(\d{2})(\d{2}) (\d{4})$"
-    m_r = r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2}):(\d{2}) ([+-])(\d{2})(\d{2})$"
-    m_i = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?(Z|[+-]\d{2}:?\d{2})?$"
-
-    def month(mon):
-        return F.try_to_timestamp(F.concat(F.lit("2000 "), mon, F.lit(" 01")), F.lit("yyyy MMM dd"))
-
-    def mnum(mon):
-        return F.month(month(mon))
-
-    def from_parts(y, mo, d, hh, mi, ss, sign, oh, om):
-        wall = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), d.cast("int"),
-                                        hh.cast("int"), mi.cast("int"), ss.cast("decimal(16,6)"))
-        off = F.concat(sign, oh, F.lit(":"), om)
-        return F.when(wall.isNotNull(), F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), off))
-
-    def g(pattern, i):
-        return F.regexp_extract(nowd, pattern, i)
-
-    x_form = from_parts(g(m_x, 9), mnum(g(m_x, 1)), g(m_x, 2), g(m_x, 3), g(m_x, 4), g(m_x, 5),
-                        g(m_x, 6), g(m_x, 7), g(m_x, 8))
-    r_form = from_parts(g(m_r, 3), mnum(g(m_r, 2)), g(m_r, 1), g(m_r, 4), g(m_r, 5), g(m_r, 6),
-                        g(m_r, 7), g(m_r, 8), g(m_r, 9))
-
-    def gi(i):
-        return F.regexp_extract(s, m_i, i)
-
-    hh = F.when(gi(4) != "", gi(4)).otherwise(F.lit("00"))
-    mi = F.when(gi(5) != "", gi(5)).otherwise(F.lit("00"))
-    ss = F.when(gi(6) != "", gi(6)).otherwise(F.lit("00"))
-    off_raw = gi(7)
-    off = (F.when(off_raw == "", F.lit(""))
-           .when(off_raw == "Z", F.lit("+00:00"))
-           .otherwise(F.concat(F.substring(off_raw, 1, 3), F.lit(":"), F.substring(off_raw, -2, 2))))
-    wall_i = F.try_make_timestamp_ntz(gi(1).cast("int"), gi(2).cast("int"), gi(3).cast("int"),
-                                      hh.cast("int"), mi.cast("int"), ss.cast("decimal(16,6)"))
-    i_form = F.when(s.rlike(m_i) & wall_i.isNotNull(),
-                    F.concat(F.date_format(wall_i, "yyyy-MM-dd'T'HH:mm:ss"), off))
+    t = F.split(nowd, "[ :]")
+    x_shape = nowd.rlike(r"^[A-Za-z]{3} \d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4}$")
+    r_shape = nowd.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$")
+
+    def el(i):
+        return F.get(t, i)
+
+    def off(tok):
+        return F.concat(F.substring(tok, 1, 3), F.lit(":"), F.substring(tok, 4, 2))
+
+    def wall(y, mo, d, hh, mi, ss):
+        return F.try_make_timestamp_ntz(y.cast("int"), mo, d.cast("int"), hh.cast("int"), mi.cast("int"),
+                                        ss.cast("decimal(16,6)"))
+
+    x_form = _iso_text(wall(el(6), _month_number(el(0)), el(1), el(2), el(3), el(4)), None, off(el(5)))
+    r_form = _iso_text(wall(el(2), _month_number(el(1)), el(0), el(3), el(4), el(5)), None, off(el(6)))
+    m_i = (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
+           r"(Z|[+-]\d{2}:?\d{2})?$")
+    iso = F.split(F.regexp_replace(s, m_i, "$1,$2,$3,$4,$5,$6,$7,$8"), ",")
+    parts = F.when(s.rlike(m_i), iso)
+
+    def p(i):
+        return F.get(parts, i)
+
+    def or0(x):
+        return F.when(x != "", x).otherwise(F.lit("0"))
+
+    frac = p(6)
+    micro = F.when((frac != "") & (F.rpad(frac, 6, "0") != "000000"), F.concat(F.lit("."), F.rpad(frac, 6, "0")))
+    o = p(7)
+    i_off = (F.when(o == "", F.lit("")).when(o == "Z", F.lit("+00:00"))
+             .otherwise(F.concat(F.substring(o, 1, 3), F.lit(":"), F.substring(o, -2, 2))))
+    i_form = _iso_text(wall(p(0), p(1).cast("int"), p(2), or0(p(3)), or0(p(4)), or0(p(5))), micro, i_off)
     return (F.when(s == "", F.lit(None).cast("string"))
-            .when(nowd.rlike(m_x), x_form)
-            .when(nowd.rlike(m_r), r_form)
+            .when(x_shape, x_form)
+            .when(r_shape, r_form)
             .otherwise(i_form))
 
 

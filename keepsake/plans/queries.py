@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepsake.plans import q_catalog, q_enrich, q_merge, q_rules  # noqa: F401
+from keepsake.plans import q_catalog, q_enrich, q_merge, q_payloads, q_rules, q_sources  # noqa: F401
 from keepsake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -92,10 +92,11 @@ def _default(field: T.StructField) -> Column:
 _NULLABLE = {"created_at"}
 
 
-def conform_posts(df: DataFrame) -> DataFrame:
-    """Known-fields projection with defaults; unknown columns are ignored.
+def conform_posts(df: DataFrame, keep=()) -> DataFrame:
+    """Known-fields projection with defaults; unknown columns are ignored
+    (except those named in ``keep``, which lead the result).
 
-    A missing ``id``/``url`` is an error, as in the reference model.
+    A missing ``id``/``url`` is an error, as in the original model.
     """
     present = set(df.columns)
     cols = []
@@ -112,7 +113,7 @@ def conform_posts(df: DataFrame) -> DataFrame:
         else:
             c = F.coalesce(F.col(f.name).cast(f.dataType), _default(f))
         cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*[F.col(k) for k in keep], *cols)
 
 
 def empty_posts(spark) -> DataFrame:
