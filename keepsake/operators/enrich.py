@@ -176,7 +176,6 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
     """
     import pandas as pd
 
-    media_t = POST_SCHEMA["media"].dataType
     schema = T.StructType([T.StructField("id", T.StringType())] +
                           [T.StructField("_f_" + n, CONTENT_SCHEMA[n].dataType) for n in
                            ("text", "author_handle", "author_name", "created_at", "media")] +
@@ -186,7 +185,8 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
         for pdf in batches:
             rows = []
             for id_ in pdf["id"]:
-                rec = {"id": id_, "_f_found": False, "_f_error": None}
+                rec = {f.name: None for f in schema.fields}
+                rec.update({"id": id_, "_f_found": False})
                 try:
                     content = fetcher(id_)
                     if content is None:
@@ -213,7 +213,6 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
         err = F.coalesce(F.col("_fetch_error"), err)
     j = j.withColumn("_fetch_error", err).withColumn(
         "_f_text", F.coalesce(F.col("_f_text"), F.col("text")))
-    _ = media_t
     return _merge_content(j.drop("_f_error"), found, "_f_")
 
 
