@@ -85,7 +85,11 @@ def normalize_results(df: DataFrame, result: str = "result", captured_at: str =
     """Add the CAPTURE_SCHEMA columns for a column of raw result JSON texts
     (other input columns are kept); rows without an id get a NULL ``id``."""
     keep = [c for c in df.columns if c not in CAPTURE_FIELDS and c != result]
-    p = df.select(*keep, F.from_json(F.col(result), RESULT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"))
+    # The parse is produced by a one-row generator: filters on derived columns
+    # (e.g. the id) are then not pushed below it, so it is never re-inlined
+    # and the document is parsed once per row.
+    parsed = F.struct(F.from_json(F.col(result), RESULT_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"))
+    p = df.select(*keep, F.inline(F.array(parsed)))
     r = F.col("_r")
     top = F.struct(*[r[k].alias(k) for k in _TWEET_FIELDS])
     wrapped = F.coalesce((r["__typename"] == WRAPPER_TYPE) & r["tweet"].isNotNull(), F.lit(False))

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions.core import strip_ws
-from keepsake.functions.variant import kind, text, vget
 from keepsake.operators.merge import changed_rows, dedupe_last
 from keepsake.sources.files import lines
 
@@ -30,9 +29,12 @@ def id_path(id_field: str) -> str:
 
 
 def record_id(data, id_field: str = "id"):
-    """``str(record.get(id_field, ""))``; a missing or JSON-null id is ''."""
-    v = vget(data, id_path(id_field))
-    return F.when(v.isNull() | (kind(v) == "NULL"), F.lit("")).otherwise(text(v))
+    """``str(record.get(id_field, ""))``; a missing or JSON-null id is ''.
+
+    One variant lookup: filters on the id are pushed below this projection
+    by the optimizer and inline the expression, so it must stay small.
+    """
+    return F.coalesce(F.try_variant_get(data, id_path(id_field), "string"), F.lit(""))
 
 
 def parse_record_lines(raw: DataFrame, collection, id_field: str = "id",
@@ -42,7 +44,9 @@ def parse_record_lines(raw: DataFrame, collection, id_field: str = "id",
     the read."""
     coll = F.lit(collection) if isinstance(collection, str) else collection
     body = raw.where(strip_ws(F.col("value")) != "")
-    parsed = body.select(*order, coll.alias("collection"), F.parse_json("value").alias("_v"))
+    # one-row generator: the id filter below is not pushed under the parse
+    parsed = body.select(*order, coll.alias("collection"),
+                         F.inline(F.array(F.struct(F.parse_json("value").alias("_v")))))
     keyed = parsed.select(*order, "collection", record_id(F.col("_v"), id_field).alias("id"),
                           F.to_json("_v").alias("data")).where(F.col("id") != "")
     return dedupe_last(keyed, RECORD_KEY, list(order)).drop(*order)
