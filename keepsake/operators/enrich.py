@@ -204,6 +204,8 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
                 rows.append(rec)
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
+    from keepsake.session import ship_package
+    ship_package(df.sparkSession)
     need = df.where(_needs_fetch()).select("id")
     fetched = need.mapInPandas(run, schema)
     j = df.join(fetched, "id", "left")
@@ -284,6 +286,8 @@ def udf_enricher(fn: Callable[[dict], dict], setup: Callable[[], object] | None
             yield pd.DataFrame({"_u_id": ids, "_u_res": res})
 
     def enrich(df: DataFrame) -> DataFrame:
+        from keepsake.session import ship_package
+        ship_package(df.sparkSession)
         todo = df.where(F.col("_target") & F.col("_fetch_error").isNull()).select(*columns)
         results = todo.mapInPandas(run, out_schema)
         j = df.join(results, df["id"] == results["_u_id"], "left")

@@ -72,3 +72,48 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
         root = spark.sparkContext.getCheckpointDir() or root
     sub = name or uuid.uuid4().hex
     return root.rstrip("/") + "/keepsake-scratch/" + sub
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``keepsake`` importable on executors (once per session).
+
+    Operators that run Python on executors (the payload UDTF, ``mapInPandas``
+    plug-ins) pickle functions by reference to this package; the package is
+    zipped into the shared scratch area and added with ``addPyFile``.  A
+    deployment that already ships it (``--py-files``) can set
+    ``spark.keepsake.shipped=true`` to skip this.
+    """
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED or spark.conf.get("spark.keepsake.shipped", "false") == "true":
+        return
+    import io
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = scratch_dir(spark, "pkg-" + uuid.uuid4().hex) + "/keepsake.zip"
+    path = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in path:
+        # Shared non-local filesystem: write through the Hadoop client API.
+        jvm = sc._jvm
+        p = jvm.org.apache.hadoop.fs.Path(target)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(p)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+    else:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as fh:
+            fh.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

@@ -45,4 +45,6 @@ class TweetResults:
 
 def extract_results(payloads: DataFrame, value: str = "value") -> DataFrame:
     """Add (pos, result) rows for each payload row (lateral join)."""
+    from keepsake.session import ship_package
+    ship_package(payloads.sparkSession)
     return payloads.lateralJoin(TweetResults(F.col(value).outer()))
