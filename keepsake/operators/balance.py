@@ -1,0 +1,21 @@
+"""Parallelism guard for narrow inputs.
+
+A small table stored as one Parquet row group is read by a single task even
+when the scan reports several partitions, which serialises every CPU-heavy
+row-local operator downstream (regex rules, JSON parsing).  ``spread``
+round-robins such an input over the session's default parallelism.  At
+cluster scale the scan already has at least that many partitions and the
+guard is a no-op, so no shuffle is added where data is large.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    target = int(min_partitions or sc.defaultParallelism)
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

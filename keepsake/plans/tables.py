@@ -14,7 +14,10 @@ from keepsake.schema import conform_posts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; narrow scans are spread over the session's parallelism
+    (see ``operators.balance``)."""
+    from keepsake.operators.balance import spread
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _minutes_after_2024(minutes_col: str) -> F.Column:
