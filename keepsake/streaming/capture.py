@@ -31,23 +31,43 @@ def payload_stream(spark: SparkSession, source_dir: str, max_files: int | None =
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def _store_ids(spark: SparkSession, store_path: str) -> DataFrame:
+# Largest micro-batch id set that is broadcast to probe the store.
+BROADCAST_IDS_MAX = 2_000_000
+
+
+def _store_ids(spark: SparkSession, store_path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(store_path).select("id")
-    except Exception:  # first batch: empty store
-        return spark.createDataFrame([], "id string")
+    except Exception:  # first batch: no store yet
+        return None
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, captured_at: str = "") -> int:
-    """foreachBatch body: add unseen ids of one micro-batch to the store."""
+    """foreachBatch body: add unseen ids of one micro-batch to the store.
+
+    The store is probed with the batch's ids (broadcast when their counted
+    number is under ``BROADCAST_IDS_MAX``), so a small batch never shuffles
+    the store; the batch is then anti-joined against the few ids found.
+    """
     spark = batch.sparkSession
     lines = batch.withColumn("line_no", F.monotonically_increasing_id()).withColumn("batch", F.lit(batch_id))
     results = extract_results(lines).select(*ORDER, "result")
     caps = normalize_results(results, "result", captured_at).where(F.col("id").isNotNull() & (F.col("id") != ""))
-    firsts = dedupe_first(caps, "id", ORDER)
-    new = firsts.join(_store_ids(spark, store_path), "id", "left_anti")
-    posts = capture_to_posts(new, keep=["batch"])
-    posts.write.mode("append").parquet(store_path)
+    firsts = dedupe_first(caps, "id", ORDER).persist()
+    try:
+        n = firsts.count()
+        if n == 0:
+            return batch_id
+        store = _store_ids(spark, store_path)
+        new = firsts
+        if store is not None:
+            ids = firsts.select("id")
+            probe = F.broadcast(ids) if n <= BROADCAST_IDS_MAX else ids
+            present = store.join(probe, "id", "left_semi")
+            new = firsts.join(present, "id", "left_anti")
+        capture_to_posts(new, keep=["batch"]).write.mode("append").parquet(store_path)
+    finally:
+        firsts.unpersist()
     return batch_id
 
 
