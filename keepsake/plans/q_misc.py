@@ -130,8 +130,8 @@ def build(spark, sf_dir, now: str = NOW):
     return enriched, added
 
 
-@register("build_pipeline")
-def build_pipeline_q(spark, sf_dir):
+@register("build_catalog")
+def build_catalog_q(spark, sf_dir):
     """End-to-end build: catalog entries of the enriched, merged store."""
     enriched, _ = build(spark, sf_dir)
     return cat.catalog_entries(E.drop_status(enriched))
