@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from keepsake.schema import conform_posts
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; narrow scans are spread over the session's parallelism
-    (see ``operators.balance``)."""
+# Inputs whose rows feed CPU-heavy row-local work (regexes, JSON parsing).
+SPREAD_TABLES = {"documents", "events", "conversations"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool | None = None) -> DataFrame:
+    """A driver table.  Narrow scans of the CPU-heavy inputs are spread over
+    the session's parallelism (see ``operators.balance``); a no-op at scale."""
     from keepsake.operators.balance import spread
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread_narrow if spread_narrow is not None else name in SPREAD_TABLES:
+        df = spread(df)
+    return df
 
 
 def _minutes_after_2024(minutes_col: str) -> F.Column:
@@ -36,7 +43,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_pages = pages.select(F.count("*")).scalar()
     link = pages.select("page_id", F.col("url").alias("page_url"))
     d = F.col("doc_id")
-    joined = docs.join(link, F.when(n_pages > 0, d % n_pages) == F.col("page_id"), "left")
+    joined = docs.join(link, F.try_mod(d, n_pages) == F.col("page_id"), "left")
     df = joined.select(
         d.cast("string").alias("id"),
         F.when(d % 13 == 0, F.lit("javascript:x"))
