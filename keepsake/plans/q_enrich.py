@@ -85,7 +85,7 @@ def enrich_pending_q(spark, sf_dir):
 
 
 @register("enrich_stats", with_posts(
-    "SELECT count_if(status = 'enriched') AS enriched, count_if(status = 'error') AS errors FROM run",
+    "SELECT CAST(count_if(status = 'enriched') AS BIGINT) AS enriched, CAST(count_if(status = 'error') AS BIGINT) AS errors FROM run",
     *_RUN_CTES))
 def enrich_stats_q(spark, sf_dir):
     return E.enrich_stats(rules_run(spark, sf_dir))

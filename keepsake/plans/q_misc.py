@@ -138,8 +138,8 @@ def build_catalog_q(spark, sf_dir):
 
 
 @register("build_stats", """
-SELECT count_if(NOT (doc_id % 2 = 1 AND doc_id % 91 = 0)) AS n_posts,
-       count_if(doc_id % 2 = 1 AND doc_id % 91 <> 0) AS added FROM documents""")
+SELECT CAST(count_if(NOT (doc_id % 2 = 1 AND doc_id % 91 = 0)) AS BIGINT) AS n_posts,
+       CAST(count_if(doc_id % 2 = 1 AND doc_id % 91 <> 0) AS BIGINT) AS added FROM documents""")
 def build_stats_q(spark, sf_dir):
     """Posts after the additive ingest and how many the ingest added."""
     enriched, added = build(spark, sf_dir)

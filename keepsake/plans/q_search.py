@@ -52,7 +52,7 @@ def search_all_tokens_q(spark, sf_dir):
 
 
 @register("search_counts", with_posts(f"""
-SELECT count_if(list_contains(tags, '{TAG}') AND contains({SQL_HAY}, 'the') AND contains({SQL_HAY}, 'and')) AS shown,
+SELECT CAST(count_if(list_contains(tags, '{TAG}') AND contains({SQL_HAY}, 'the') AND contains({SQL_HAY}, 'and')) AS BIGINT) AS shown,
        count(*) AS total FROM posts"""))
 def search_counts_q(spark, sf_dir):
     return S.search_counts(posts(spark, sf_dir), q=QUERY, tag=TAG)
