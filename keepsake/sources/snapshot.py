@@ -50,8 +50,10 @@ class SnapshotStore:
         n = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         obs = Observation("commit")
         observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        # An unlogged v=N directory is the leftover of a commit that failed
+        # before its log append; nobody reads it, so it may be replaced.
         (observed.repartition(n, "id").sortWithinPartitions("id")
-         .write.mode("errorifexists").parquet(self._dir(v)))
+         .write.mode("overwrite").parquet(self._dir(v)))
         rows = int(obs.get["rows"])
         self.spark.createDataFrame([(v, rows)], _LOG_SCHEMA).write.mode("append").parquet(self._log)
         return v

@@ -85,3 +85,12 @@ def test_snapshot_store_versions(spark, scratch):
     v2 = st.commit(posts_df(spark, [post(1), post(2)]))
     assert (v1, v2) == (1, 2)
     assert st.read().count() == 2 and st.read(1).count() == 1
+
+
+def test_snapshot_commit_replaces_unlogged_leftover(spark, scratch):
+    st = SnapshotStore(spark, scratch + "/snap2", buckets=1)
+    # a failed commit left v=000001 without a log entry
+    posts_df(spark, [post(9)]).write.parquet(scratch + "/snap2/v=000001")
+    assert st.latest_version() is None
+    assert st.commit(posts_df(spark, [post(1), post(2)])) == 1
+    assert _ids(st.read()) == ["1", "2"]
