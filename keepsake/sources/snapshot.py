@@ -17,10 +17,13 @@ _LOG_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructFiel
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, key: str = "id",
+                 partition_by: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self.key = key
+        self.partition_by = partition_by
 
     @property
     def _log(self) -> str:
@@ -52,8 +55,11 @@ class SnapshotStore:
         observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
         # An unlogged v=N directory is the leftover of a commit that failed
         # before its log append; nobody reads it, so it may be replaced.
-        (observed.repartition(n, "id").sortWithinPartitions("id")
-         .write.mode("overwrite").parquet(self._dir(v)))
+        cols = [c for c in (self.partition_by, self.key) if c]
+        writer = observed.repartition(n, *cols).sortWithinPartitions(*cols).write.mode("overwrite")
+        if self.partition_by:
+            writer = writer.partitionBy(self.partition_by)
+        writer.parquet(self._dir(v))
         rows = int(obs.get["rows"])
         self.spark.createDataFrame([(v, rows)], _LOG_SCHEMA).write.mode("append").parquet(self._log)
         return v

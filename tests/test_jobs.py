@@ -34,3 +34,32 @@ def test_build_twice_is_stable(spark, scratch):
     a = sorted(r.value for r in spark.read.text(scratch + "/out1/site").collect())
     b = sorted(r.value for r in spark.read.text(scratch + "/out2/site").collect())
     assert a == b and len(a) == 4
+
+
+def test_dump_apply_and_records(spark, scratch):
+    base = _local(scratch)
+    os.makedirs(base, exist_ok=True)
+    with open(base + "/export.json", "w", encoding="utf-8") as f:
+        json.dump(SAMPLE, f)
+    store = scratch + "/store"
+    jobs.ingest_job(spark, store, [base + "/export.json"])
+    d = jobs.dump_job(spark, store, scratch + "/dump", chunks=3)
+    assert d["pending"] == 4 and spark.read.json(scratch + "/dump").count() == 4
+    with open(base + "/map.json", "w", encoding="utf-8") as f:
+        json.dump({"1001": {"summary": "s", "topic": "t", "tags": ["X"]}}, f)
+    res = jobs.apply_job(spark, store, [base + "/map.json"], now=NOW)
+    assert (res["enriched"], res["errors"]) == (1, 3)
+    with open(base + "/empty.json", "w", encoding="utf-8") as f:
+        json.dump({}, f)
+    import pytest
+    with pytest.raises(ValueError):
+        jobs.apply_job(spark, store, [base + "/empty.json"])
+    # record collections: put twice (second is a no-op), get, list
+    with open(base + "/recs.json", "w", encoding="utf-8") as f:
+        json.dump([{"id": "a", "v": 1}, {"id": "b", "v": 2}], f)
+    rs = scratch + "/records"
+    assert jobs.record_put(spark, rs, "cars", [base + "/recs.json"], batch_ts="t1")["stored"] == 2
+    assert jobs.record_put(spark, rs, "cars", [base + "/recs.json"], batch_ts="t2")["stored"] == 0
+    got = jobs.record_get(spark, rs, "cars", "b").first()
+    assert json.loads(got.data)["v"] == 2 and got.updated_at == "t1"
+    assert [r.id for r in jobs.record_list(spark, rs, "cars").collect()] == ["a", "b"]
