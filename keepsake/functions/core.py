@@ -95,7 +95,7 @@ def keyword_haystack(text="text", hashtags="hashtags", links="links", handle="au
                        F.lower(F.coalesce(_c(handle), F.lit(""))))
 
 
-def search_haystack(df_cols=None) -> Column:
+def search_haystack() -> Column:
     """text, summary, topic, handle, name, tags joined by one space, lower-cased."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in
              ("text", "summary", "topic", "author_handle", "author_name")]
@@ -117,7 +117,7 @@ def catalog_title(summary="summary", text="text", url="url") -> Column:
     return strip_ws(F.replace(t, F.lit("\n"), F.lit(" ")))
 
 
-def catalog_line(df_prefix: str = "") -> Column:
+def catalog_line() -> Column:
     """``- @handle — [title](safe_url) `#id```."""
     handle = F.coalesce(F.col("author_handle"), F.lit(""))
     author = F.when(handle != "", F.concat(F.lit("@"), handle, F.lit(" — "))).otherwise(F.lit(""))

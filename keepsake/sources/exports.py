@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keepsake.functions.core import coerce_metrics, default_url, extract_id, strip_ws
 from keepsake.functions.variant import (as_array, first_truthy, is_array, is_object, kind, obj, str_list,
                                         str_or, text, truthy, vget)
-from keepsake.schema import MEDIA_TYPE, POST_FIELDS, POST_SCHEMA, conform_posts
+from keepsake.schema import conform_posts
 from keepsake.sources.files import FILE_ORDER, whole_files
 
 JSON_EXPORT = "json-export"
@@ -207,4 +207,4 @@ def bookmark_responses(log: DataFrame, url: str = "url", body: str = "body") ->
 
 __all__ = ["url_strings", "document_items", "detect_format", "looks_like_rich",
            "posts_from_documents", "read_captures", "mapping_entries", "load_mapping", "record_items",
-           "bookmark_responses", "MEDIA_TYPE"]
+           "bookmark_responses"]
