@@ -179,8 +179,8 @@ SELECT id, '{' ||
   ',"enriched_at":' || to_json(enriched_at) || ',"hashtags":' || to_json(hashtags) ||
   ',"id":' || to_json(id) || ',"imported_at":""' || ',"lang":' || to_json(lang) ||
   ',"links":' || to_json(links) || ',"media":[],"mentions":[]' ||
-  ',"metrics":{"likes":' || CAST(likes AS VARCHAR) || ',"views":' || CAST(views AS VARCHAR) ||
-  ',"bookmarks":' || CAST(bookmarks AS VARCHAR) || '}' ||
+  ',"metrics":{"bookmarks":' || CAST(bookmarks AS VARCHAR) || ',"likes":' || CAST(likes AS VARCHAR) ||
+  ',"views":' || CAST(views AS VARCHAR) || '}' ||
   ',"source":' || to_json(source) || ',"summary":' || to_json(summary) || ',"tags":' || to_json(tags) ||
   ',"tags_source":' || to_json(tags_source) || ',"text":' || to_json(text) || ',"thread_ids":[]' ||
   ',"topic":' || to_json(topic) || ',"url":' || to_json(url) || '}' AS value

@@ -34,8 +34,14 @@ def read_posts(spark: SparkSession, paths) -> DataFrame:
 
 
 def to_json_lines(posts: DataFrame) -> DataFrame:
-    """(id, value): the deterministic JSON line of every post."""
-    body = F.to_json(F.struct(*[F.col(f) for f in POST_FIELDS]), {"ignoreNullFields": "false"})
+    """(id, value): the deterministic JSON line of every post.
+
+    Keys are sorted at every level: struct fields are declared in order and
+    the metrics map is rebuilt from its key-sorted entries.
+    """
+    sorted_metrics = F.map_from_entries(F.array_sort(F.map_entries(F.col("metrics"))))
+    cols = [sorted_metrics.alias(f) if f == "metrics" else F.col(f) for f in POST_FIELDS]
+    body = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     return posts.select("id", body.alias("value"))
 
 

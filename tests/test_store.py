@@ -67,9 +67,10 @@ def test_ndjson_last_line_wins(spark, scratch):
 
 
 def test_json_line_sorted_keys_all_fields(spark):
-    line = to_json_lines(posts_df(spark, [post(1, text="é <x>")])).first().value
+    line = to_json_lines(posts_df(spark, [post(1, text="é <x>", metrics={"views": 2, "likes": 1})])).first().value
     obj = json.loads(line)
     assert list(obj) == sorted(obj) == sorted(POST_FIELDS)
+    assert list(obj["metrics"]) == ["likes", "views"]
     assert obj["text"] == "é <x>" and obj["enriched"] is False and obj["media"] == []
 
 
