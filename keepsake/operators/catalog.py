@@ -68,7 +68,10 @@ def public_records(posts: DataFrame) -> DataFrame:
 def public_payload_lines(posts: DataFrame) -> DataFrame:
     """(id, json) — one script-safe JSON object per public record."""
     rec = public_records(posts)
-    body = F.to_json(F.struct(*[F.col(c) for c in PUBLIC_FIELDS]), {"ignoreNullFields": "false"})
+    # metrics keys sorted, as they are after a round trip through the store
+    sorted_metrics = F.map_from_entries(F.array_sort(F.map_entries(F.col("metrics"))))
+    cols = [sorted_metrics.alias(c) if c == "metrics" else F.col(c) for c in PUBLIC_FIELDS]
+    body = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     return rec.select("id", script_safe_json(body).alias("json"))
 
 

@@ -83,8 +83,8 @@ SELECT id, replace(
   || ',"summary":' || to_json(summary) || ',"topic":' || to_json(topic) || ',"tags":' || to_json(tags)
   || ',"author_handle":' || to_json(author_handle) || ',"author_name":' || to_json(author_name)
   || ',"created_at":' || to_json(created_at)
-  || ',"metrics":{{"likes":' || CAST(likes AS VARCHAR) || ',"views":' || CAST(views AS VARCHAR)
-  || ',"bookmarks":' || CAST(bookmarks AS VARCHAR) || '}}}}', '<', '\\u003c') AS json
+  || ',"metrics":{{"bookmarks":' || CAST(bookmarks AS VARCHAR) || ',"likes":' || CAST(likes AS VARCHAR)
+  || ',"views":' || CAST(views AS VARCHAR) || '}}}}', '<', '\\u003c') AS json
 FROM posts"""
 
 
