@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urlparse
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -68,6 +68,7 @@ PATTERNS = [r"\bai\b", r"rust\b", r"api\b", r"\bgo\b", "ai", "fact.?check"]
 
 @SETTINGS
 @given(sentences)
+@example(["İai", "ai\u0301", "x\u0301ai", "ai‿x", "½ai"])
 def test_keyword_hits_match_python_re(spark, values):
     df = spark.createDataFrame([(i, v.lower()) for i, v in enumerate(values)], "i int, hay string")
     hay = F.col("hay")
