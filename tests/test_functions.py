@@ -90,3 +90,15 @@ def test_falsy_coalesce_and_strip(spark):
     df = spark.createDataFrame([(None, "", "x"), ("a", "b", "c")], "a string, b string, c string")
     assert [r[0] for r in df.select(C.falsy_coalesce("a", "b", "c")).collect()] == ["x", "a"]
     assert _col(spark, ["  x \n"], C.strip_ws) == ["x"]
+
+
+def test_dates_do_not_depend_on_session_zone(spark):
+    vals = ["Sun Mar 10 02:30:00 +0000 2024", "Sun, 10 Mar 2024 02:30:00 -0500", "2024-03-10T02:30:00"]
+    before = _col(spark, vals, C.parse_created_at)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 02:30 does not exist locally
+        assert _col(spark, vals, C.parse_created_at) == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == ["2024-03-10T02:30:00+00:00", "2024-03-10T02:30:00-05:00", "2024-03-10T02:30:00"]
