@@ -191,9 +191,40 @@ def _month_number(name: Column) -> Column:
     return F.when((F.length(name) == 3) & (pos > 0) & (pos % 4 == 1), (pos + 3) / 4).cast("int")
 
 
+# FIXED VALUES: English day abbreviations from Sunday (dayofweek() = 1).
+DAYS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
+
+
+def ntz_iso(ts: Column) -> Column:
+    """'yyyy-MM-ddTHH:mm:ss' of a TIMESTAMP_NTZ with whole seconds.
+
+    Built from the cast text, not ``date_format``: formatting goes through
+    the session zone and shifts wall times that fall in a DST gap.
+    """
+    return F.replace(F.substring(ts.cast("string"), 1, 19), F.lit(" "), F.lit("T"))
+
+
+def ntz_x_style(ts: Column, offset: str = "+0000") -> Column:
+    """'Wed Oct 10 20:19:24 +0000 2018' for a TIMESTAMP_NTZ wall clock."""
+    text = ts.cast("string")
+    day = F.element_at(F.array(*[F.lit(d) for d in DAYS]), F.dayofweek(ts))
+    mon = F.initcap(F.element_at(F.split(F.lit(MONTHS), " "), F.month(ts)))
+    return F.concat_ws(" ", day, mon, F.substring(text, 9, 2), F.substring(text, 12, 8), F.lit(offset),
+                       F.substring(text, 1, 4))
+
+
+def ntz_rfc(ts: Column, offset: str = "+0000") -> Column:
+    """'Wed, 10 Oct 2018 20:19:24 +0000' for a TIMESTAMP_NTZ wall clock."""
+    text = ts.cast("string")
+    day = F.element_at(F.array(*[F.lit(d) for d in DAYS]), F.dayofweek(ts))
+    mon = F.initcap(F.element_at(F.split(F.lit(MONTHS), " "), F.month(ts)))
+    return F.concat(day, F.lit(", "), F.concat_ws(" ", F.substring(text, 9, 2), mon, F.substring(text, 1, 4),
+                                                   F.substring(text, 12, 8), F.lit(offset)))
+
+
 def _iso_text(wall: Column, micro: Column | None, offset: Column) -> Column:
     frac = F.lit("") if micro is None else F.coalesce(micro, F.lit(""))
-    return F.when(wall.isNotNull(), F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), frac, offset))
+    return F.when(wall.isNotNull(), F.concat(ntz_iso(wall), frac, offset))
 
 
 def parse_created_at(c) -> Column:

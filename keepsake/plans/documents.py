@@ -21,8 +21,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _iso(minutes: str = "doc_id") -> Column:
-    return F.date_format(F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + {minutes} * interval '1' minute"),
-                         "yyyy-MM-dd'T'HH:mm:ss")
+    from keepsake.functions.core import ntz_iso
+    return ntz_iso(F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + {minutes} * interval '1' minute"))
 
 
 def status_url() -> Column:
@@ -115,11 +115,10 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _x_created(d: Column) -> Column:
     """X-style text; doc_id % 3 = 1 uses RFC 2822 with a +02:00 offset."""
+    from keepsake.functions.core import ntz_rfc, ntz_x_style
     base = F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute")
-    x_style = F.concat(F.date_format(base, "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format(base, "yyyy"))
     local = base + F.expr("interval '2' hour")
-    rfc = F.concat(F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))
-    return F.when(d % 3 == 1, rfc).otherwise(x_style)
+    return F.when(d % 3 == 1, ntz_rfc(local, "+0200")).otherwise(ntz_x_style(base))
 
 
 _MEDIA_T = ("array<struct<type:string,media_url_https:string,"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keepsake.functions.core import ntz_iso
 from keepsake.functions.json import build_prompt, parse_content, parse_response
 from keepsake.functions.rulesets import NO_CATEGORY, SAMPLE_CATEGORIES
 from keepsake.operators import enrich as E
@@ -222,8 +223,7 @@ def parse_content_q(spark, sf_dir):
     raw = F.to_json(F.struct(
         F.col("text"),
         F.struct(F.concat(F.lit("u"), F.col("source")).alias("screen_name"), F.upper("source").alias("name")).alias("user"),
-        F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute"),
-                      "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        ntz_iso(F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute")).alias("created_at"),
         media.alias("mediaDetails")))
     p = d.select(F.col("doc_id").cast("string").alias("id"), parse_content(raw).alias("c"))
     return p.select("id", "c.text", "c.author_handle", "c.author_name", "c.created_at",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keepsake.functions.core import coerce_metrics, extract_id, metric, parse_created_at
+from keepsake.functions.core import (coerce_metrics, extract_id, metric, ntz_iso, ntz_rfc, ntz_x_style,
+                                     parse_created_at)
 from keepsake.plans import documents as D
 from keepsake.plans.registry import register
 from keepsake.plans.tables import posts, table, with_posts
@@ -225,9 +226,12 @@ def parse_created_at_q(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     ts = F.col("ts")
     local = ts + F.expr("interval '5' hour") + F.expr("interval '30' minute")
-    x_style = F.concat(F.date_format(ts, "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format(ts, "yyyy"))
-    rfc = F.concat(F.date_format(local, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0530"))
-    iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    x_style = ntz_x_style(ts)
+    rfc = ntz_rfc(local, "+0530")
+    text = ts.cast("string")  # fraction printed without trailing zeros
+    frac = F.when(F.instr(text, ".") > 0, F.rpad(F.substring_index(text, ".", -1), 6, "0")).otherwise(
+        F.lit("000000"))
+    iso = F.concat(ntz_iso(ts), F.lit("."), frac, F.lit("Z"))
     raw = F.when(F.col("event_id") % 3 == 0, x_style).when(F.col("event_id") % 3 == 1, rfc).otherwise(iso)
     return ev.select("event_id", parse_created_at(raw).alias("iso"))
 

@@ -28,9 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool | Non
 
 
 def _minutes_after_2024(minutes_col: str) -> F.Column:
-    return F.date_format(
-        F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + {minutes_col} * interval '1' minute"),
-        "yyyy-MM-dd'T'HH:mm:ss")
+    from keepsake.functions.core import ntz_iso
+    return ntz_iso(F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + {minutes_col} * interval '1' minute"))
 
 
 # -- posts --------------------------------------------------------------------
