@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import exact_dedup
+from keepsake.llm import exact_dedup, pii
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,9 @@ FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WINDOW g AS (PARTITION BY n
 """)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest_columns(pii.find_personal_data(docs))
