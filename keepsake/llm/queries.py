@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import exact_dedup, pii
+from keepsake.llm import exact_dedup, pii, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,10 @@ def op10_exact_dedup(spark, sf_dir):
 def op9_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest_columns(pii.find_personal_data(docs))
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("page_id", "judged.host", "judged.path", "judged.rule",
+                                               "judged.verdict", "judged.score")
