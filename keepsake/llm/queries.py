@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import exact_dedup, pii, url_filter
+from keepsake.llm import chat, exact_dedup, pii, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,11 @@ def op2_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "judged.host", "judged.path", "judged.rule",
                                                "judged.verdict", "judged.score")
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    return chat.digest_columns(chat.format_chat(chat.conversation_records(rows.unionByName(extra))))
