@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import chat, exact_dedup, pii, url_filter
+from keepsake.llm import chat, exact_dedup, mixing, pii, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op6_chat_format(spark, sf_dir):
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
     return chat.digest_columns(chat.format_chat(chat.conversation_records(rows.unionByName(extra))))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
