@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import chat, exact_dedup, mixing, pii, url_filter
+from keepsake.llm import chat, exact_dedup, mixing, pii, quality, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,73 @@ def op6_chat_format(spark, sf_dir):
 @query
 def op5_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def quality_sql(columns: str) -> str:
+    """DuckDB SQL of the quality report over ``documents``; ``columns`` are what it returns."""
+    from keepsake.llm.quality import LEAST, MAX_REPEAT, MEASURES, MIN_WORDS, REACH
+
+    sides = []
+    for m, (low, high) in MEASURES.items():
+        sides.append(f"max(CASE WHEN measure = '{m}' THEN q3 + {REACH} * (q3 - q1) + {high} END) AS {m}_max")
+        if low is not None:
+            sides.append(f"max(CASE WHEN measure = '{m}' THEN q1 - {REACH} * (q3 - q1) - {low} END) AS {m}_min")
+    names = [s.split(" AS ")[1] for s in sides]
+    picked = ", ".join(f"CASE WHEN f.n_docs >= {LEAST} THEN f.{s} WHEN l.n_docs >= {LEAST} THEN l.{s} ELSE a.{s} END AS {s}"
+                       for s in names)
+    good = " AND ".join([f"d.{m} <= t.{m}_max" for m in MEASURES]
+                        + [f"d.{m} >= t.{m}_min" for m, (low, _) in MEASURES.items() if low is not None])
+
+    def fence(level: str) -> str:
+        keys = f"{level}, " if level else ""
+        by = f"GROUP BY {level}" if level else ""
+        return f"""(SELECT {keys}{', '.join(sides)}, max(n_docs) AS n_docs FROM (
+            SELECT {keys}measure, max(n_docs) AS n_docs, min(CASE WHEN up_to * 100 >= 25 * n_docs THEN bucket END) AS q1,
+                   min(CASE WHEN up_to * 100 >= 75 * n_docs THEN bucket END) AS q3
+            FROM (SELECT {keys}measure, bucket, sum(n) OVER (PARTITION BY {keys}measure) AS n_docs,
+                         sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS up_to
+                  FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM sketch GROUP BY {keys}measure, bucket))
+            GROUP BY {keys}measure) {by})"""
+    blanks = "[\\x20\\x09-\\x0D]+"
+    measures = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM doc WHERE NOT base_failed"
+                                  for m in MEASURES)
+    return f"""
+WITH raw AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
+       list_filter(regexp_split_to_array(coalesce(text, ''), '{blanks}'), lambda x: x <> '') AS w,
+       list_filter(string_split(coalesce(text, ''), chr(10)),
+                   lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM raw WHERE len(w) >= 3),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
+                               FROM grams) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM hit) GROUP BY doc_id),
+counts AS (SELECT raw.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+       len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+       coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM raw LEFT JOIN rep USING (doc_id)),
+doc AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
+       CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words END AS symbol_rate,
+       CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_line_rate,
+       CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_rate,
+       CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_length FROM counts),
+sketch AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE
+       (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS bucket, count(*) AS n
+       FROM ({measures}) GROUP BY ALL),
+t AS (SELECT f.lang, f.source, {picked} FROM {fence('lang, source')} f
+      LEFT JOIN {fence('lang')} l ON f.lang IS NOT DISTINCT FROM l.lang, {fence('')} a)
+SELECT {columns}
+FROM (SELECT d.*, t.* EXCLUDE (lang, source),
+             CASE WHEN d.base_failed THEN false ELSE coalesce({good}, true) END AS kept
+      FROM doc d LEFT JOIN t ON d.lang IS NOT DISTINCT FROM t.lang AND d.source IS NOT DISTINCT FROM t.source) x
+"""
+
+
+def _quality_columns() -> str:
+    from keepsake.llm.quality import MEASURES, _sides
+
+    rates = [f"{c}::BIGINT AS {c}" for c in [*MEASURES, *_sides()]]
+    return ", ".join(["doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept", *rates])
+
+
+@query(sql=quality_sql(_quality_columns()))
+def op1_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
