@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import chat, exact_dedup, mixing, pii, quality, url_filter
+from keepsake.llm import bpe, chat, exact_dedup, mixing, pii, quality, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -124,3 +124,15 @@ def _quality_columns() -> str:
 @query(sql=quality_sql(_quality_columns()))
 def op1_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_columns(bpe.encode_documents(docs, tokenizer_path()))
