@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import bpe, chat, exact_dedup, mixing, pii, quality, url_filter
+from keepsake.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,8 @@ def tokenizer_path() -> str:
 def op4_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest_columns(bpe.encode_documents(docs, tokenizer_path()))
+
+
+@query
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
