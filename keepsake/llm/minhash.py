@@ -111,8 +111,8 @@ def _hash_words(text: str) -> np.ndarray:
 
 def _shingle_hashes(w: np.ndarray) -> np.ndarray:
     if len(w) < SHINGLE:
-        return _mix(np.array([sum(int(x) * int(p) for x, p in zip(w, _PLACE)) % 2 ** 64 + 0], np.uint64)
-                    + np.uint64(len(w)) * _PLACE[4])
+        whole = sum(int(x) * int(p) for x, p in zip(w, _PLACE)) + len(w) * int(_PLACE[4])
+        return _mix(np.array([whole % 2 ** 64], np.uint64))
     n = len(w) - SHINGLE + 1
     h = w[:n] * _PLACE[0]
     for k in range(1, SHINGLE):
