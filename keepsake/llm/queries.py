@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, url_filter
+from keepsake.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,8 @@ def op4_bpe(spark, sf_dir):
 @query
 def op7_minhash_dedup(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
