@@ -9,9 +9,12 @@
    a pair goes as soon as the posterior probability that its similarity reaches
    the threshold (uniform prior) falls under ``MISS``.
 4. Survivors are verified exactly on the full sets of word shingles.
+   The first pivot of a bucket is its node with most candidates.
 5. Confirmed links give components.  Members of a bucket that lie in different
-   components are still open: the pivot leaves the bucket and others take its
-   place, eight times as many each round, until no bucket spans two components.
+   components are still open.  Where a pivot has many of them, they are dealt into
+   buckets by the shingles that the pivot lacks (see ``_spread``).  Then the pivot
+   leaves and others take its place, eight times as many each round, until no
+   bucket spans two components.
    So every candidate pair is either compared or already connected; a group of
    near copies costs about one comparison per member instead of all pairs.
 
@@ -50,6 +53,8 @@ MISS = 1e-6
 #: Characters of text that are hashed at a time.
 PIECE = 1 << 20
 NO_ID = -(2 ** 63)
+#: Open members of one pivot from which on they are spread by the shingles that the pivot lacks.
+MANY = 64
 
 _RNG = np.random.default_rng(20240601)
 _BYTES = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64)
@@ -220,6 +225,26 @@ def _verify(percent: int):
     return run
 
 
+def _outside(percent: int):
+    """For members and their pivot: set size, shingles in common, and hashes of shingles outside the pivot."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot, pivot_hashes = None, None
+        for rows in batches:
+            sizes, commons, outside = [], [], []
+            for p, ta, tb in zip(rows["pivot"], rows["text_a"], rows["text_b"]):
+                if p != pivot:
+                    pivot, pivot_hashes = p, np.unique(_shingle_hashes(_hash_words(tb)))
+                own = np.unique(_shingle_hashes(_hash_words(ta)))
+                other = np.setdiff1d(own, pivot_hashes, assume_unique=True)
+                common = len(own) - len(other)
+                least = max(1, -(-percent * len(own) // 100) - common)
+                sizes.append(len(own))
+                commons.append(common)
+                outside.append(other[:max(0, len(other) - least + 1)].astype(np.int64))
+            yield rows[["pivot", "node", "comp", "degree"]].assign(size=sizes, common=commons, outside=outside)
+    return run
+
+
 def normal_text(text: Column) -> Column:
     """Words with A-Z lower-cased, separated by one blank."""
     return F.array_join(words(lower_ascii(text_or_empty(text))), " ")
@@ -273,32 +298,80 @@ class NearGroups:
     def _components(self) -> DataFrame:
         """(node, comp) of the nodes that have a link."""
         bands = self.nodes.select("node", F.posexplode("sig").alias("band", "value"))
-        shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        members = materialise(bands.join(shared, ["band", "value"]).withColumn("comp", F.col("node")))
-        spark = members.sparkSession
-        comps = spark.createDataFrame([], "node long, comp long")
+        shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        members = materialise(bands.join(shared, ["band", "value"]))
+        degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+        members = materialise(members.drop("n").join(degree, "node").withColumn("comp", F.col("node")))
+        comps = members.sparkSession.createDataFrame([], "node long, comp long")
+        if not members.isEmpty():
+            self.texts = self._texts_of(members)
         pivots = 1
         while not members.isEmpty():
-            if self.texts is None:
-                self.texts = self._texts_of(members)
+            # the node with most candidates goes first: in a group of near copies that is the one all derive from
             slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-            pivot = members.groupBy("band", "value", slot.alias("slot")).agg(F.min(F.struct("node", "comp")).alias("p"))
-            pivot = materialise(pivot.select("band", "value", F.col("p.node").alias("b"), F.col("p.comp").alias("comp_b")))
-            pairs = (members.join(pivot, ["band", "value"]).filter("comp <> comp_b")
-                     .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
-            links = self._links(materialise(pairs))
-            if not links.isEmpty():
-                comps = self._merged(comps, links)
-            rest = members.drop("comp").join(pivot.select("band", "value", F.col("b").alias("node")),
-                                             ["band", "value", "node"], "left_anti")
-            rest = rest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            rest = materialise(rest)
-            # a bucket is open while its remaining members lie in more than one component
-            open_ = rest.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-            members = materialise(rest.join(open_.select("band", "value"), ["band", "value"]))
+            best = F.max(F.struct("degree", (-F.col("node")).alias("less"), "comp"))
+            pivot = materialise(members.groupBy("band", "value", slot.alias("slot")).agg(best.alias("p")).select(
+                "band", "value", (-F.col("p.less")).alias("b"), F.col("p.comp").alias("comp_b")))
+            pairs = members.join(pivot, ["band", "value"]).filter("comp <> comp_b").select("node", "b")
+            comps = self._linked(comps, pairs)
+            rest = members.join(pivot.select("band", "value", F.col("b").alias("node")), ["band", "value", "node"], "left_anti")
+            if pivots == 1:
+                rest = rest.join(pivot.select("band", "value", F.col("b").alias("pivot")), ["band", "value"])
+            members = self._open(materialise(rest), comps)
+            if pivots == 1 and not members.isEmpty():
+                members, comps = self._spread(members, comps)
             pivots *= 8
         return comps
 
+    def _linked(self, comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after verifying pairs of nodes."""
+        a, b = pairs.columns
+        links = self._links(materialise(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()))
+        return comps if links.isEmpty() else self._merged(comps, links)
+
+    def _open(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members with their present components, of the buckets that lie in more than one."""
+        now = materialise(members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        open_ = now.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+        return materialise(now.join(open_.select("band", "value"), ["band", "value"]))
+
+    def _spread(self, members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Replaces the buckets of a pivot that has many open members by smaller ones.
+
+        Of the shingles that two members share, the pivot has at most as many as
+        it shares with either.  If that isn't enough to reach the threshold, the
+        two share a shingle outside the pivot: they meet in a bucket of one of
+        those (of the first so many in a fixed order that one must be common).
+        The other pairs are close in size and are compared directly.
+        """
+        group = members.groupBy("pivot", "node").agg(F.first("comp").alias("comp"), F.first("degree").alias("degree"))
+        many = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("pivot")
+        few = members.join(many, "pivot", "left_anti").drop("pivot")
+        ta = self.texts.select("node", F.col("text").alias("text_a"))
+        tb = self.texts.select(F.col("node").alias("pivot"), F.col("text").alias("text_b"))
+        rest = materialise(
+            group.join(many, "pivot").join(ta, "node").join(tb, "pivot")
+            .select("pivot", "node", "comp", "degree", "text_a", "text_b")
+            .mapInPandas(_outside(self.percent), "pivot long, node long, comp long, degree long, size long, common long, "
+                                                 "outside array<long>"))
+        # similarity t needs t / (1 + t) of both sizes in common; here in whole numbers
+        share, whole = self.percent, 100 + self.percent
+        home = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("home"))
+        away = rest.join(home, "pivot", "left").filter(F.col("comp") != F.coalesce("home", "pivot"))
+        low = F.ceil(F.col("size") * self.percent / 100)
+        high = F.floor(F.col("common") * whole / share) - F.col("size")
+        x = away.filter(low <= high).select("pivot", F.col("node").alias("x"), F.col("comp").alias("comp_x"),
+                                            F.explode(F.sequence(low, high)).alias("size"))
+        near = (x.join(rest.select("pivot", "node", "comp", "size", "common"), ["pivot", "size"])
+                .filter("comp <> comp_x"))
+        sizes = away.select("pivot", F.col("node").alias("x"), F.col("size").alias("size_x"))
+        near = near.join(sizes, ["pivot", "x"]).filter(
+            F.col("common") * whole >= share * (F.col("size") + F.col("size_x")))
+        comps = self._linked(comps, near.select("x", "node"))
+        tokens = rest.select(F.lit(-1).alias("band"), F.explode("outside").alias("token"), "pivot", "node", "degree", "comp")
+        small = tokens.select("band", F.xxhash64("pivot", "token").alias("value"), "node", "degree", "comp")
+        return self._open(materialise(few.select(*small.columns).unionByName(small)), comps), comps
+
     def _merged(self, comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after adding links: contracted to the old components, then joined to all nodes."""
         old = comps.select("node", "comp")
