@@ -45,7 +45,7 @@ DECAY = 0.7
 #: Longest stretch of characters that the kernel reads at once.
 WINDOW = 16
 #: Labelled documents per class that the fit takes, and the longest text among them.
-SAMPLE = 4000
+SAMPLE = 1500
 MAX_CHARS = 50_000
 #: Landmarks from suspicious and from clean words.
 LANDMARKS = 64
