@@ -227,6 +227,12 @@ def _iso_text(wall: Column, micro: Column | None, offset: Column) -> Column:
     return F.when(wall.isNotNull(), F.concat(ntz_iso(wall), frac, offset))
 
 
+# Day names and the zone names of RFC 2822.
+DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500",
+         "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def parse_created_at(c) -> Column:
     """RFC-2822 / X-style / ISO text -> ISO-8601 text; NULL when unparseable.
 
@@ -236,10 +242,11 @@ def parse_created_at(c) -> Column:
     matters.
     """
     s = strip_ws(F.coalesce(_c(c), F.lit("")))
-    nowd = F.regexp_replace(s, r"^[A-Za-z]{3},? ", "")
+    nowd = F.regexp_replace(s, r"^(?i)(?:" + "|".join(f"{d[:3]}(?:{d[3:]})?" for d in DAY_NAMES) + r"),?\s+", "")
     t = F.split(nowd, "[ :]")
     x_shape = nowd.rlike(r"^[A-Za-z]{3} \d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4}$")
-    r_shape = nowd.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$")
+    rfc = r"^(\d{1,2}) ([A-Za-z]{3})[a-z]* (\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([+-]\d{4}|[A-Za-z]{1,5}))?$"
+    r_shape = nowd.rlike(rfc)
 
     def el(i):
         return F.get(t, i)
@@ -252,7 +259,17 @@ def parse_created_at(c) -> Column:
                                         ss.cast("decimal(16,6)"))
 
     x_form = _iso_text(wall(el(6), _month_number(el(0)), el(1), el(2), el(3), el(4)), None, off(el(5)))
-    r_form = _iso_text(wall(el(2), _month_number(el(1)), el(0), el(3), el(4), el(5)), None, off(el(6)))
+
+    def rp(i):
+        return F.regexp_extract(nowd, rfc, i)
+
+    zone = F.upper(rp(7))
+    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone), F.lit("-0000"))
+    zone = F.when(zone.rlike("^[+-]"), zone).otherwise(known)
+    # "-0000" (also an unknown or missing zone) says that the offset isn't known: the time stays naive
+    zone = F.when(zone == "-0000", F.lit("")).otherwise(off(zone))
+    r_form = _iso_text(wall(rp(3), _month_number(rp(2)), rp(1), rp(4), rp(5),
+                            F.when(rp(6) == "", "0").otherwise(rp(6))), None, zone)
     m_i = (r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
            r"(Z|[+-]\d{2}:?\d{2})?$")
     iso = F.split(F.regexp_replace(s, m_i, "$1,$2,$3,$4,$5,$6,$7,$8"), ",")
@@ -292,9 +309,12 @@ def coerce_metrics(v) -> Column:
         num = F.try_variant_get(x, "$", "double")
         kind = F.schema_of_variant(x)
         text = F.try_variant_get(x, "$", "string")
-        from_text = F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("bigint"))
+        bare = strip_ws(text)
+        from_text = F.when(bare.rlike(r"^[+-]?\d+$"), bare.try_cast("bigint"))
+        exact = F.try_variant_get(x, "$", "bigint")  # a double would round large integers
         return (F.when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("bigint"))
                 .when(kind == "STRING", from_text)
+                .when(kind.startswith("BIGINT"), exact)
                 .when(kind.startswith("BIGINT") | kind.startswith("INT") | kind.startswith("DECIMAL")
                       | kind.startswith("DOUBLE") | kind.startswith("FLOAT") | kind.startswith("SMALLINT")
                       | kind.startswith("TINYINT"),

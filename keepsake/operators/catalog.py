@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.core import catalog_line, safe_url, script_safe_json
 
+# The section of posts without tags, the title and the published fields.
 UNTAGGED = "untagged"
 CATALOG_TITLE = "# Bookmarks catalog"
 PUBLIC_FIELDS = ("id", "url", "text", "summary", "topic", "tags",
@@ -45,18 +46,32 @@ def tag_facet(posts: DataFrame) -> DataFrame:
     return posts.select(F.explode(F.coalesce(F.col("tags"), F.array().cast("array<string>"))).alias("tag")).distinct()
 
 
+def catalog_document(posts: DataFrame) -> DataFrame:
+    """(tag, row, id, line): the lines of the whole catalog, in the order (tag, row, id).
+
+    The title and the total come first (null tag), then per tag a heading
+    (row 0) and its posts (row 1).
+    """
+    entries = catalog_entries(posts).select("tag", F.lit(1).alias("row"), "id", "line")
+    heads = entries.select("tag").distinct().select("tag", F.lit(0).alias("row"), F.lit("").alias("id"),
+                                                    F.concat(F.lit("## "), F.col("tag")).alias("line"))
+    nothing = F.lit(None).cast("string")
+    total = catalog_header(posts).select(nothing.alias("tag"), F.lit(1).alias("row"), F.lit("").alias("id"),
+                                         F.col("header").alias("line"))
+    title = total.select("tag", F.lit(0).alias("row"), "id", F.lit(CATALOG_TITLE).alias("line"))
+    return title.unionByName(total).unionByName(heads).unionByName(entries)
+
+
 def write_catalog(posts: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write the catalog as one text directory per tag, lines sorted by id.
+    """Write the catalog as text files whose names are in document order.
 
-    Section order is the directory order (codepoint order of tags); range
-    partitioning on (tag, id) keeps each output file sorted and splits hot tags.
+    Range partitions on (tag, row, id) split a popular tag over files and need
+    no directory per tag.  Rendering again replaces the folder.
     """
-    entries = catalog_entries(posts)
-    n = partitions or posts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    (entries.repartitionByRange(int(n), "tag", "id")
-     .sortWithinPartitions("tag", "id")
-     .select("tag", "line")
-     .write.mode("errorifexists").partitionBy("tag").text(path))
+    order = [F.col("tag").asc_nulls_first(), F.col("row"), F.col("id")]
+    sized = [partitions] if partitions else []
+    (catalog_document(posts).repartitionByRange(*sized, *order).sortWithinPartitions(*order)
+     .select("line").write.mode("overwrite").text(path))
 
 
 def public_records(posts: DataFrame) -> DataFrame:
@@ -78,4 +93,4 @@ def public_payload_lines(posts: DataFrame) -> DataFrame:
 def write_public_payload(posts: DataFrame, path: str) -> None:
     """Public listing data as NDJSON, globally sorted by id."""
     (public_payload_lines(posts).orderBy("id").select(F.col("json").alias("value"))
-     .write.mode("errorifexists").text(path))
+     .write.mode("overwrite").text(path))

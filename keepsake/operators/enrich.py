@@ -32,6 +32,7 @@ RES_TYPE = T.StructType([
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
 ])
+# Messages and markers that stored posts carry.
 NOT_FOUND = "tweet not found"
 NO_MAPPING = "no enrichment provided for this id"
 FETCH_DISABLED = "fetch disabled; record is missing text"
@@ -55,13 +56,12 @@ def select_targets(posts: DataFrame, force: bool = False) -> DataFrame:
     return posts if force else pending(posts)
 
 
-def mark_targets(posts: DataFrame, force: bool = False, limit: int | None = None,
-                 broadcast_limit: int = 1_000_000) -> DataFrame:
+def mark_targets(posts: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
     """Add boolean ``_target``.
 
     Without a limit the flag is a row predicate (no shuffle).  With a limit
     the first N target ids are found with a distributed top-N and joined
-    back; they are broadcast only when N is at most ``broadcast_limit``.
+    back; Spark broadcasts them below its own size limit.
     """
     pred = F.lit(True) if force else is_pending()
     if limit is None:
@@ -69,7 +69,6 @@ def mark_targets(posts: DataFrame, force: bool = False, limit: int | None = None
     if limit < 0:
         raise ValueError("limit must be >= 0")
     ids = posts.where(pred).select("id").orderBy("id").limit(limit).withColumn("_target", F.lit(True))
-    ids = F.broadcast(ids) if limit <= broadcast_limit else ids
     return (posts.join(ids, "id", "left")
             .withColumn("_target", F.coalesce(F.col("_target"), F.lit(False))))
 
@@ -145,34 +144,39 @@ def fetch_disabled(df: DataFrame, message: str = FETCH_DISABLED) -> DataFrame:
 
 def retry(fn: Callable, retries: int = 3, sleep: Callable[[float], None] = time.sleep,
           retry_on: tuple[type[BaseException], ...] = (Exception,)) -> Callable:
-    """Call ``fn`` up to ``retries`` times, sleeping 1 s, 2 s, ... between tries.
+    """``fn`` with up to ``retries`` calls, pausing 1 s, 2 s, 4 s ... before the second and later ones.
 
-    A ``None`` result (not found) is returned at once, never retried.
+    Any result, also ``None`` (not found), ends it; only ``retry_on`` errors count as transient.
     """
+    pauses = [0, *(2.0 ** k for k in range(retries - 1))]
 
-    def wrapped(*a, **kw):
-        last = None
-        for attempt in range(retries):
+    def persistent(*args, **kwargs):
+        problems: list[BaseException] = []
+        for pause in pauses:
+            if pause:
+                sleep(pause)
             try:
-                return fn(*a, **kw)
-            except retry_on as exc:  # transient failure
-                last = exc
-                if attempt < retries - 1:
-                    sleep(2 ** attempt)
-        raise RuntimeError(f"failed after {retries} attempts: {last}") from last
+                return fn(*args, **kwargs)
+            except retry_on as problem:
+                problems.append(problem)
+        raise RuntimeError(f"failed after {len(problems)} attempts: {problems[-1]}") from problems[-1]
 
-    return wrapped
+    return persistent
 
 
-def _error_text(exc: BaseException) -> str:
-    return str(exc) or exc.__class__.__name__
+def _error_text(problem: BaseException) -> str:
+    """What a failed row says: the exception's message, or its type where it has none."""
+    message = f"{problem}"
+    return message if message else type(problem).__name__
 
 
 def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None]) -> DataFrame:
     """Backfill through a user function ``id -> content dict | None | raise``.
 
     Runs in ``mapInPandas``: only rows that need text call the function; a
-    ``None`` gives ``tweet not found``, an exception its message.
+    ``None`` gives ``tweet not found``, an exception its message.  The answers
+    are written once to the shared folder, because both the enricher and the
+    result read them and a second call could answer differently.
     """
     import pandas as pd
 
@@ -204,10 +208,12 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
                 rows.append(rec)
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    from keepsake.session import ship_package
+    from keepsake.session import scratch_dir, ship_package
     ship_package(df.sparkSession)
     need = df.where(_needs_fetch()).select("id")
-    fetched = need.mapInPandas(run, schema)
+    answers = scratch_dir(df.sparkSession)
+    need.mapInPandas(run, schema).write.parquet(answers)
+    fetched = df.sparkSession.read.schema(schema).parquet(answers)
     j = df.join(fetched, "id", "left")
     found = F.coalesce(F.col("_f_found"), F.lit(False))
     err = F.when(_needs_fetch() & ~found, F.col("_f_error"))
@@ -231,13 +237,15 @@ def normalize_result(summary: Column, topic: Column, tags: Column) -> Column:
 
 
 def mapping_enricher(mapping: DataFrame, skip_missing: bool = False) -> Callable[[DataFrame], DataFrame]:
-    """Enrich from a table ``(id, summary, topic, tags)``.
+    """Enrich from a table ``(id, summary, topic, tags)``, optionally with the ``error`` of an entry.
 
     Missing ids become the per-row error ``no enrichment provided for this id``
     (or are left pending with ``skip_missing``).
     """
-    m = mapping.select(F.col("id").alias("_m_id"),
-                       normalize_result(F.col("summary"), F.col("topic"), F.col("tags")).alias("_m_res"))
+    res = normalize_result(F.col("summary"), F.col("topic"), F.col("tags"))
+    if "error" in mapping.columns:
+        res = res.withField("error", F.col("error").cast("string"))
+    m = mapping.select(F.col("id").alias("_m_id"), res.alias("_m_res"))
 
     def enrich(df: DataFrame) -> DataFrame:
         j = df.join(m, df["id"] == m["_m_id"], "left")
@@ -254,6 +262,14 @@ def mapping_enricher(mapping: DataFrame, skip_missing: bool = False) -> Callable
     return enrich
 
 
+def response_enricher(responses: DataFrame, skip_missing: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Enrich from model responses ``(id, response)``; one that can't be parsed is that row's error."""
+    from keepsake.functions.json import parse_response
+
+    parsed = responses.select("id", parse_response(F.col("response")).alias("r"))
+    return mapping_enricher(parsed.select("id", "r.summary", "r.topic", "r.tags", "r.error"), skip_missing)
+
+
 def udf_enricher(fn: Callable[[dict], dict], setup: Callable[[], object] | None = None,
                  columns: tuple[str, ...] = ("id", "url", "author_handle", "author_name", "text",
                                              "lang", "hashtags", "links")) -> Callable[[DataFrame], DataFrame]:
@@ -280,7 +296,7 @@ def udf_enricher(fn: Callable[[dict], dict], setup: Callable[[], object] | None
                     res.append({"summary": str(r.get("summary", "")), "topic": str(r.get("topic", "")),
                                 "tags": [str(t) for t in tags] if isinstance(tags, list) else [],
                                 "error": None})
-                except Exception as exc:  # a single failure must not abort the batch
+                except Exception as exc:
                     res.append({"summary": None, "topic": None, "tags": None, "error": _error_text(exc)})
                 ids.append(rec["id"])
             yield pd.DataFrame({"_u_id": ids, "_u_res": res})
@@ -341,16 +357,36 @@ def enrich_pending(posts: DataFrame, enricher: Callable[[DataFrame], DataFrame],
                    force: bool = False, limit: int | None = None, content: DataFrame | None = None,
                    fetcher: Callable | None = None, offline: bool = False) -> DataFrame:
     """One enrichment run; returns all posts plus ``_status`` ('enriched',
-    'error' or NULL for untouched rows).  ``now`` is injected (no clock)."""
-    df = mark_targets(posts, force=force, limit=limit).withColumn("_fetch_error", F.lit(None).cast("string"))
+    'error' or NULL for untouched rows).  ``now`` is injected (no clock).
+
+    Only targets go through backfill and enricher; the other rows are set
+    beside the result unread.
+    """
+    done, rest = split_enrich(posts, enricher, now=now, force=force, limit=limit, content=content, fetcher=fetcher,
+                              offline=offline)
+    return done.unionByName(rest)
+
+
+def split_enrich(posts: DataFrame, enricher: Callable[[DataFrame], DataFrame], *, now: str,
+                 force: bool = False, limit: int | None = None, content: DataFrame | None = None,
+                 fetcher: Callable | None = None, offline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(targets after enrichment, untouched rows), both with ``_status``."""
+    marked = mark_targets(posts, force=force, limit=limit)
+    df = marked.where("_target").withColumn("_fetch_error", F.lit(None).cast("string"))
     if content is not None:
         df = backfill_from_content(df, content)
     elif fetcher is not None:
         df = backfill_with_fetcher(df, fetcher)
     elif offline:
         df = fetch_disabled(df)
-    df = enricher(df)
-    return apply_results(df, now)
+    done = apply_results(enricher(df), now)
+    rest = marked.where("not _target").select(*POST_FIELDS, F.lit(None).cast("string").alias("_status"))
+    return done, rest
+
+
+#: Enrichers that a job can choose by name; add one with ``ENRICHERS[name] = factory``.
+ENRICHERS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {
+    "rules": rules_enricher, "mapping": mapping_enricher, "responses": response_enricher, "udf": udf_enricher}
 
 
 def enrich_stats(result: DataFrame) -> DataFrame:
@@ -364,5 +400,5 @@ def drop_status(result: DataFrame) -> DataFrame:
 
 
 __all__ = ["pending", "select_targets", "mark_targets", "backfill_from_content", "backfill_with_fetcher",
-           "fetch_disabled", "retry", "mapping_enricher", "udf_enricher", "rules_enricher",
+           "fetch_disabled", "retry", "mapping_enricher", "response_enricher", "ENRICHERS", "udf_enricher", "rules_enricher",
            "apply_results", "enrich_pending", "enrich_stats", "normalize_result", "nonblank"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,27 +72,25 @@ def ingest_additive(store: DataFrame, incoming: DataFrame, order: Sequence[str],
     return store.unionByName(added), added
 
 
-def upsert(base: DataFrame, changes: DataFrame, order: Sequence[str] | None = None, key="id") -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, order: Sequence[str], key="id") -> DataFrame:
     """Whole-record replace by key; the last change of a key wins."""
     keys = _keys(key)
     cols = base.columns
-    latest = dedupe_last(changes, keys, order) if order else changes
-    latest = latest.select(*cols)
+    latest = dedupe_last(changes, keys, order).select(*cols)
     return base.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 
-def row_hash(cols: Sequence[str]) -> Column:
-    """A 64-bit content hash of the given columns (NULL-safe)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
-
-
 def changed_rows(current: DataFrame, candidate: DataFrame, key, value_cols: Sequence[str]) -> DataFrame:
     """Candidate rows that are new or differ from ``current`` (dirty set).
 
-    Equal rows are removed by an anti-join on ``key`` plus a content hash, so
-    an unchanged upsert writes nothing.
+    Equal rows are removed by an anti-join on ``key`` and the values
+    themselves, nulls being equal, so an unchanged upsert writes nothing.
     """
     keys = _keys(key)
-    cur = current.select(*keys, row_hash(value_cols).alias("_h"))
-    cand = candidate.withColumn("_h", row_hash(value_cols))
-    return cand.join(cur, keys + ["_h"], "left_anti").drop("_h")
+    cur = current.select(*[F.col(c).alias(f"_cur_{c}") for c in [*keys, *value_cols]])
+    same = F.lit(True)
+    for c in keys:
+        same = same & (candidate[c] == F.col(f"_cur_{c}"))
+    for c in value_cols:
+        same = same & candidate[c].eqNullSafe(F.col(f"_cur_{c}"))
+    return candidate.join(cur, same, "left_anti")

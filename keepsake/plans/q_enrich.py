@@ -183,7 +183,7 @@ def build_prompts_q(spark, sf_dir):
 def responses(spark, sf_dir):
     """Model responses built from assistant turns (see FIXTURES.md §3)."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    summary = F.regexp_replace(F.left(F.col("text"), F.lit(80)), r"[^\p{L}\p{N} ]", "")
+    summary = F.regexp_replace(F.col("text"), r"[^\p{L}\p{N} ]", "")
     body = F.concat(F.lit('{"summary": "'), summary, F.lit('", "topic": " t'), (F.col("turn") % 4).cast("string"),
                     F.lit(' ", "tags": [" Conv'), F.col("conv_id").cast("string"), F.lit(' ", "TURN'),
                     F.col("turn").cast("string"), F.lit('", " ", '), F.col("turn").cast("string"), F.lit("]}"))
@@ -196,7 +196,7 @@ def responses(spark, sf_dir):
 @register("parse_responses", """
 SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
        CASE WHEN conv_id % 10 = 0 THEN NULL
-            ELSE regexp_replace(regexp_replace(left(text, 80), '[^\\p{L}\\p{N} ]', '', 'g'), '^\\s+|\\s+$', '', 'g') END AS summary,
+            ELSE regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} ]', '', 'g'), '^\\s+|\\s+$', '', 'g') END AS summary,
        CASE WHEN conv_id % 10 = 0 THEN NULL ELSE 't' || CAST(turn % 4 AS VARCHAR) END AS topic,
        CASE WHEN conv_id % 10 = 0 THEN NULL
             ELSE 'conv' || CAST(conv_id AS VARCHAR) || '|turn' || CAST(turn AS VARCHAR) || '|' || CAST(turn AS VARCHAR) END AS tags,
@@ -235,11 +235,11 @@ def parse_content_q(spark, sf_dir):
 
 
 def sample_udf_enricher(row: dict) -> dict:
-    """Example plug-in: first five words as summary; fails on texts without 'e'."""
+    """Example plug-in: the words of the text as summary; fails on texts without 'e'."""
     text = row.get("text") or ""
     if "e" not in text:
         raise ValueError("no e in text")
-    return {"summary": " ".join(text.split()[:5]), "topic": row.get("lang") or "",
+    return {"summary": " ".join(text.split()), "topic": row.get("lang") or "",
             "tags": [row.get("author_handle") or "anon"]}
 
 
@@ -250,7 +250,7 @@ SELECT id,
        WHEN NOT enriched AND enrich_error = '' AND text = '' THEN 'fetch disabled; record is missing text'
        ELSE enrich_error END AS enrich_error,
   CASE WHEN NOT enriched AND enrich_error = '' AND contains(text, 'e')
-       THEN array_to_string(list_slice(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), 1, 5), ' ')
+       THEN array_to_string(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), ' ')
        ELSE summary END AS summary,
   CASE WHEN NOT enriched AND enrich_error = '' AND contains(text, 'e') AND tags_source <> 'manual'
        THEN CASE WHEN author_handle = '' THEN 'anon' ELSE author_handle END

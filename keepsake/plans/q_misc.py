@@ -45,7 +45,7 @@ def mapping_documents(spark, sf_dir):
     doc_ids, plus a non-object value to ignore) and a later list (doc_id % 6 = 0
     overridden, plus entries with falsy ids to ignore)."""
     d = D._docs(spark, sf_dir)
-    entry = F.struct(F.left("text", F.lit(40)).alias("summary"), F.col("lang").alias("topic"),
+    entry = F.struct(F.col("text").alias("summary"), F.col("lang").alias("topic"),
                      F.array(F.upper("lang"), F.lit(" "), F.col("source")).alias("tags"))
     keyed = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), F.to_json(entry))
     a = (d.where(F.col("doc_id") % 2 == 0).groupBy("g")
@@ -69,7 +69,7 @@ def mapping_documents(spark, sf_dir):
 
 @register("scan_enrichment_map", """
 SELECT CAST(doc_id AS VARCHAR) AS id,
-       CASE WHEN doc_id % 6 = 0 THEN 'override ' || CAST(doc_id AS VARCHAR) ELSE left(text, 40) END AS summary,
+       CASE WHEN doc_id % 6 = 0 THEN 'override ' || CAST(doc_id AS VARCHAR) ELSE text END AS summary,
        CASE WHEN doc_id % 6 = 0 THEN ' Topic ' ELSE lang END AS topic,
        CASE WHEN doc_id % 6 = 0 THEN '' ELSE upper(lang) || '| |' || source END AS tags
 FROM documents WHERE doc_id % 2 = 0""")
@@ -92,7 +92,7 @@ FROM documents"""
 def _write_payload_log(spark, sf_dir, path: str) -> None:
     """Payload log: one payload per line, several files (arrival = path order)."""
     p = D.payloads(spark, sf_dir)
-    (p.repartitionByRange(4, "file_ord").sortWithinPartitions("file_ord").select("value")
+    (p.repartitionByRange("file_ord").sortWithinPartitions("file_ord").select("value")
      .write.option("lineSep", "\n").text(path))
 
 

@@ -17,7 +17,7 @@ _WORD = r"[^\p{L}\p{N}_]"
 
 def duck_regex(pattern: str) -> str:
     r"""RE2 has an ASCII-only ``\b``; spell word boundaries at the ends out."""
-    p = R.anchor_pattern(pattern)
+    p = R.whole_word(pattern)
     if p.startswith(r"\b"):
         p = f"(^|{_WORD})" + p[2:]
     if p.endswith(r"\b"):

@@ -13,18 +13,9 @@ from pyspark.sql import functions as F
 from keepsake.schema import conform_posts
 
 
-# Inputs whose rows feed CPU-heavy row-local work (regexes, JSON parsing).
-SPREAD_TABLES = {"documents", "events", "conversations"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_narrow: bool | None = None) -> DataFrame:
-    """A driver table.  Narrow scans of the CPU-heavy inputs are spread over
-    the session's parallelism (see ``operators.balance``); a no-op at scale."""
-    from keepsake.operators.balance import spread
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_narrow if spread_narrow is not None else name in SPREAD_TABLES:
-        df = spread(df)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _minutes_after_2024(minutes_col: str) -> F.Column:
@@ -171,14 +162,14 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session-produced enrichment for even doc_ids: (id, summary, topic, tags)."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
     return d.select(F.col("doc_id").cast("string").alias("id"),
-                    F.left(F.col("text"), F.lit(40)).alias("summary"),
+                    F.col("text").alias("summary"),
                     F.col("lang").alias("topic"),
                     F.array(F.upper(F.col("lang")), F.lit(" "), F.col("source")).alias("tags"))
 
 
 MAPPING_CTE = """
 mapping AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, left(text, 40) AS summary, lang AS topic,
+  SELECT CAST(doc_id AS VARCHAR) AS id, text AS summary, lang AS topic,
          [upper(lang), ' ', source] AS tags
   FROM documents WHERE doc_id % 2 = 0
 )"""

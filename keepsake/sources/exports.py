@@ -21,12 +21,13 @@ from keepsake.sources.files import FILE_ORDER, whole_files
 JSON_EXPORT = "json-export"
 EXTENSION = "extension"
 URL_LIST = "url-list"
+# Format names and messages.
 UNSUPPORTED_EXPORT = "unsupported export format: expected a list of bookmark objects"
 # Python str.splitlines() boundaries.
 LINE_BREAKS = r"\r\n|[\n\x0B\x0C\r\x1C\x1D\x1E\x85\u2028\u2029]"
 
 def _media(v: Column) -> Column:
-    """``it.get("media", []) or []`` as array<struct<thumb,type,url>>."""
+    """An item's media list as array<struct<thumb,type,url>>; anything but a list is empty."""
     return F.transform(as_array(v), lambda m: F.struct(
         F.try_variant_get(m, "$.thumb", "string").alias("thumb"),
         F.try_variant_get(m, "$.type", "string").alias("type"),
@@ -37,8 +38,8 @@ def _media(v: Column) -> Column:
 
 
 def export_items(doc: Column) -> Column:
-    """``data.get("bookmarks", data.get("data", []))`` for an object (key
-    presence), else the document; a non-list is an error."""
+    """The item list of a document: under ``bookmarks``, else ``data``, of an object
+    (the key's presence decides), else the document; a non-list is an error."""
     items = F.when(is_object(doc), F.coalesce(vget(doc, "$.bookmarks"), vget(doc, "$.data"),
                                               F.parse_json(F.lit("[]")))).otherwise(doc)
     return F.when(is_array(items), items).otherwise(F.raise_error(F.lit(UNSUPPORTED_EXPORT)).cast("variant"))
@@ -48,7 +49,7 @@ def export_items(doc: Column) -> Column:
 
 
 def rich_items(doc: Column) -> Column:
-    """``data.get("bookmarks") or data.get("data") or []`` (truthiness)."""
+    """The first non-empty of an object's ``bookmarks`` and ``data``, else the document."""
     empty = F.parse_json(F.lit("[]"))
     return F.when(is_object(doc), F.coalesce(first_truthy(vget(doc, "$.bookmarks"), vget(doc, "$.data")), empty)
                   ).otherwise(doc)
@@ -87,13 +88,25 @@ def detect_format(doc: Column) -> Column:
             .otherwise(F.lit(JSON_EXPORT)))
 
 
+BAD_JSON = "not valid JSON, though it begins like it: "
+
+
+def _parsed(value: Column) -> Column:
+    """The document as VARIANT; null for text that isn't JSON at all (a URL list).
+
+    Text that begins like an object or an array and doesn't parse would be
+    split into lines as if it were URLs; that is an error with its path instead.
+    """
+    doc = F.try_parse_json(value)
+    looks = strip_ws(value).rlike(r"^[\[{]")
+    return F.when(doc.isNull() & looks, F.raise_error(F.concat(F.lit(BAD_JSON), F.col("path"))).cast("variant")
+                  ).otherwise(doc)
+
+
 def document_items(files: DataFrame, fmt: str | None = None) -> DataFrame:
     """(file_ord, path, format, pos, item) — one row per item of each
     document (an object, a junk value, or a URL string for URL lists)."""
-    if fmt == JSON_EXPORT:
-        d = files.withColumn("_doc", F.parse_json(F.col("value")))
-    else:
-        d = files.withColumn("_doc", F.try_parse_json(F.col("value")))
+    d = files.withColumn("_doc", F.parse_json(F.col("value")) if fmt == JSON_EXPORT else _parsed(F.col("value")))
     d = d.withColumn("format", F.lit(fmt) if fmt else detect_format(F.col("_doc")))
     doc = F.col("_doc")
     fmt_c = F.col("format")

@@ -28,24 +28,39 @@ def whole_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     frames = []
     for i, p in enumerate(_as_list(paths)):
-        df = spark.read.option("wholetext", "true").text(p)
+        df = spark.read.text(p, wholetext=True)
         frames.append(df.select(F.lit(i).cast("bigint").alias("file_ord"),
                                 F.col("_metadata.file_path").alias("path"), "value"))
     return reduce(DataFrame.unionByName, frames)
 
 
 FILE_ORDER = ("file_ord", "path")
+LINE_ORDER = ("file_ord", "path", "block", "line_no")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob matches anything, asked of the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, block, line_no, value) for newline-delimited files, split on
+    """(file_ord, path, block, line_no, value) for newline-delimited files, split on
     ``\\n`` only — U+2028/U+2029/NEL inside JSON strings stay in the record.
 
-    Splittable: each block is read by its own task; (path, block, line_no)
-    orders the lines of a file exactly.
+    Splittable: each block is read by its own task; :data:`LINE_ORDER`
+    orders the lines exactly, files in the given order.  A path that doesn't
+    exist has no lines: a store that was never written is empty.
     """
-    df = spark.read.option("lineSep", "\n").text(_as_list(paths))
-    return df.select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line_no"),
-                     "value")
+    frames = []
+    for i, p in enumerate(_as_list(paths)):
+        if path_exists(spark, p):
+            df = spark.read.option("lineSep", "\n").text(p)
+            frames.append(df.select(F.lit(i).cast("bigint").alias("file_ord"),
+                                    F.col("_metadata.file_path").alias("path"),
+                                    F.col("_metadata.file_block_start").alias("block"),
+                                    F.monotonically_increasing_id().alias("line_no"), "value"))
+    if not frames:
+        return spark.createDataFrame([], "file_ord bigint, path string, block bigint, line_no bigint, value string")
+    return reduce(DataFrame.unionByName, frames)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from keepsake.functions.core import strip_ws
 from keepsake.operators.merge import dedupe_last
 from keepsake.schema import POST_FIELDS, POST_SCHEMA, conform_posts
-from keepsake.sources.files import lines
+from keepsake.sources.files import LINE_ORDER, lines
 
 
-def parse_post_lines(raw: DataFrame, order: Sequence[str] = ("path", "block", "line_no")) -> DataFrame:
+def parse_post_lines(raw: DataFrame, order: Sequence[str] = LINE_ORDER) -> DataFrame:
     """Parse a ``value`` column of JSON lines into conformed posts, last wins."""
     body = raw.where(strip_ws(F.col("value")) != "")
     parsed = body.select(*order, F.from_json("value", POST_SCHEMA, {"mode": "FAILFAST"}).alias("p"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.core import strip_ws
 from keepsake.operators.merge import changed_rows, dedupe_last
-from keepsake.sources.files import lines
+from keepsake.sources.files import LINE_ORDER, lines
 
 RECORD_KEY = ["collection", "id"]
 MISSING_ID = "record is missing required id field {}"
@@ -38,17 +38,18 @@ def record_id(data, id_field: str = "id"):
 
 
 def parse_record_lines(raw: DataFrame, collection, id_field: str = "id",
-                       order: Sequence[str] = ("path", "block", "line_no")) -> DataFrame:
+                       order: Sequence[str] = LINE_ORDER, require: bool = False) -> DataFrame:
     """(collection, id, data) from JSON lines; blank lines skipped, rows with
-    an empty id dropped, the last line of an id wins.  A malformed line fails
-    the read."""
+    an empty id dropped (or, with ``require``, failing the job), the last line of
+    an id wins.  A malformed line fails the read."""
     coll = F.lit(collection) if isinstance(collection, str) else collection
     body = raw.where(strip_ws(F.col("value")) != "")
     # one-row generator: the id filter below is not pushed under the parse
     parsed = body.select(*order, coll.alias("collection"),
                          F.inline(F.array(F.struct(F.parse_json("value").alias("_v")))))
     keyed = parsed.select(*order, "collection", record_id(F.col("_v"), id_field).alias("id"),
-                          F.to_json("_v").alias("data")).where(F.col("id") != "")
+                          F.to_json("_v").alias("data"))
+    keyed = require_ids(keyed, id_field) if require else keyed.where(F.col("id") != "")
     return dedupe_last(keyed, RECORD_KEY, list(order)).drop(*order)
 
 
@@ -92,10 +93,10 @@ def open_collection(spark: SparkSession, collection: str, backend: str | None =
     raise ValueError(f"unknown backend {b!r} (expected one of {', '.join(BACKENDS)})")
 
 
-def require_ids(records: DataFrame) -> DataFrame:
+def require_ids(records: DataFrame, id_field: str = "id") -> DataFrame:
     """Fail the job when a record to write has no id."""
     return records.withColumn("id", F.when(F.coalesce(F.col("id"), F.lit("")) == "",
-                                           F.raise_error(F.lit("record is missing required id field")))
+                                           F.raise_error(F.lit(MISSING_ID.format(id_field))))
                               .otherwise(F.col("id")))
 
 
@@ -117,13 +118,16 @@ def upsert_records(current: DataFrame, incoming: DataFrame, batch_ts: str):
 
 
 def write_collections(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``(collection, id, data, updated_at)`` partitioned by collection,
-    rows sorted by id inside each file."""
-    (records.repartition("collection", "id").sortWithinPartitions("collection", "id")
+    """Write ``(collection, id, data, updated_at)`` partitioned by collection.
+
+    Range partitions by (collection, id): a task writes to few collections, a
+    large collection spreads over tasks, ids are sorted across its files.
+    """
+    (records.repartitionByRange("collection", "id").sortWithinPartitions("collection", "id")
      .write.mode(mode).partitionBy("collection").parquet(path))
 
 
-def to_record_lines(records: DataFrame) -> DataFrame:
-    """(collection, id, value): deterministic NDJSON lines (keys sorted —
-    VARIANT stores object keys in order — rows to be written by id)."""
-    return records.select("collection", "id", F.to_json(F.parse_json("data")).alias("value"))
+def copy_collection(source: DataFrame, path: str, collection: str, batch_ts: str, mode: str = "append") -> None:
+    """Copy the records of ``source`` into a collection of the table at ``path``."""
+    out = source.select(F.lit(collection).alias("collection"), "id", "data", F.lit(batch_ts).alias("updated_at"))
+    write_collections(out, path, mode)

@@ -1,10 +1,15 @@
-"""Versioned snapshot store for the post table (atomic replace, K2).
+"""Versioned snapshot store (atomic replace, incremental append; K2).
 
-Never overwrite the directory being read: each commit writes a new
-``v=NNNNNN`` directory through Spark's commit protocol, and only after that
-job succeeds appends a row to the ``_log`` Parquet table.  Readers take the
-highest logged version, so a failed or half-written commit is never visible
-and older versions stay readable.
+A version is a list of segment directories.  Each commit writes one new
+directory through Spark's commit protocol and, only after that job succeeds,
+appends a row to the ``_log`` Parquet table.  Readers take the highest logged
+version, so a failed or half-written commit is never visible and older
+versions stay readable.  ``append`` adds a segment to the latest version and
+leaves what is stored unread; ``commit`` replaces everything.
+
+A commit first claims its version by creating a file (atomic on the file
+system).  Of two commits that start from the same version one gets it, the other
+fails and changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +18,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOG_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("rows", T.LongType())])
+from keepsake.sources.files import path_exists
+
+_LOG_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("rows", T.LongType()),
+                            T.StructField("segments", T.ArrayType(T.StringType()))])
 
 
 class SnapshotStore:
@@ -29,37 +37,80 @@ class SnapshotStore:
     def _log(self) -> str:
         return self.root + "/_log"
 
-    def _dir(self, version: int) -> str:
-        return f"{self.root}/v={version:06d}"
+    def _latest(self) -> tuple[int, list[str]] | None:
+        """Latest version and its segments; None only if nothing was ever committed."""
+        if not path_exists(self.spark, self._log):
+            return None
+        log = self.spark.read.schema(_LOG_SCHEMA).parquet(self._log)
+        row = log.agg(F.max_by(F.struct("version", "segments"), "version").alias("m")).first().m
+        return None if row is None else (int(row.version), list(row.segments))
 
     def latest_version(self) -> int | None:
-        try:
-            log = self.spark.read.schema(_LOG_SCHEMA).parquet(self._log)
-        except Exception:  # no commit yet
-            return None
-        v = log.agg(F.max("version")).first()[0]
-        return None if v is None else int(v)
+        latest = self._latest()
+        return latest[0] if latest else None
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        v = self.latest_version() if version is None else version
-        if v is None:
+        latest = self._latest()
+        if latest is None:
             return None
-        return self.spark.read.parquet(self._dir(v))
+        segments = latest[1]
+        if version is not None and version != latest[0]:
+            log = self.spark.read.schema(_LOG_SCHEMA).parquet(self._log)
+            segments = log.where(F.col("version") == version).first().segments
+        return self._union(segments)
+
+    def _union(self, segments: list[str]) -> DataFrame:
+        frames = [self.spark.read.parquet(f"{self.root}/{s}") for s in segments]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
 
     def commit(self, df: DataFrame) -> int:
-        """Write ``df`` as the next version; returns it.  Rows are clustered by
-        ``hash(id)`` into ``buckets`` files and sorted by id inside each."""
-        v = (self.latest_version() or 0) + 1
-        n = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        obs = Observation("commit")
-        observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-        # An unlogged v=N directory is the leftover of a commit that failed
-        # before its log append; nobody reads it, so it may be replaced.
-        cols = [c for c in (self.partition_by, self.key) if c]
-        writer = observed.repartition(n, *cols).sortWithinPartitions(*cols).write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(self.partition_by)
-        writer.parquet(self._dir(v))
-        rows = int(obs.get["rows"])
-        self.spark.createDataFrame([(v, rows)], _LOG_SCHEMA).write.mode("append").parquet(self._log)
+        """Write ``df`` as the whole next version; returns it."""
+        return self._write(df, keep=False)
+
+    def append(self, df: DataFrame) -> int:
+        """Write ``df`` as a segment added to the latest version; returns the new version."""
+        return self._write(df, keep=True)
+
+    def _write(self, df: DataFrame, keep: bool) -> int:
+        latest = self._latest()
+        v, before = (latest[0] + 1, latest[1]) if latest else (1, [])
+        claim = self._claim(v)
+        try:
+            name = f"v={v:06d}"
+            cols = [c for c in (self.partition_by, self.key) if c]
+            obs = Observation("commit")
+            observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+            # range partitions: sorted files whose statistics let a lookup by key skip the others
+            placed = observed.repartitionByRange(*([self.buckets] if self.buckets else []), *cols)
+            writer = placed.sortWithinPartitions(*cols).write.mode("overwrite")
+            if self.partition_by:
+                writer = writer.partitionBy(self.partition_by)
+            # an unlogged directory is what a failed commit left; nobody reads it
+            writer.parquet(f"{self.root}/{name}")
+            row = (v, int(obs.get["rows"]), (before if keep else []) + [name])
+            self.spark.createDataFrame([row], _LOG_SCHEMA).write.mode("append").parquet(self._log)
+        finally:
+            self._release(claim)
         return v
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _claim(self, version: int):
+        fs, path = self._fs(f"{self.root}/_claims/{version:06d}")
+        if not fs.createNewFile(path):
+            raise RuntimeError(f"version {version} of {self.root} is being written by another commit; if that has "
+                               f"died, remove {path.toString()}")
+        if (self.latest_version() or 0) >= version:
+            self._release((fs, path))
+            raise RuntimeError(f"version {version} of {self.root} was committed meanwhile")
+        return fs, path
+
+    @staticmethod
+    def _release(claim) -> None:
+        fs, path = claim
+        fs.delete(path, False)

@@ -18,12 +18,17 @@ from pyspark.sql import functions as F
 
 from keepsake.operators.merge import dedupe_first
 from keepsake.operators.normalize import capture_to_posts, normalize_results
+from keepsake.sources.files import path_exists
 from keepsake.sources.payloads import extract_results
 
 ORDER = ["batch", "path", "block", "line_no", "pos"]
 
 
-def payload_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
+#: Files that one micro-batch takes at most, so that a backlog is worked off in steps.
+MAX_FILES = 1000
+
+
+def payload_stream(spark: SparkSession, source_dir: str, max_files: int | None = MAX_FILES) -> DataFrame:
     reader = spark.readStream.format("text").option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -31,23 +36,16 @@ def payload_stream(spark: SparkSession, source_dir: str, max_files: int | None =
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-# Largest micro-batch id set that is broadcast to probe the store.
-BROADCAST_IDS_MAX = 2_000_000
-
-
 def _store_ids(spark: SparkSession, store_path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(store_path).select("id")
-    except Exception:  # first batch: no store yet
-        return None
+    """Stored ids, or None before the first batch; any other failure to read is raised."""
+    return spark.read.parquet(store_path).select("id") if path_exists(spark, store_path) else None
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, captured_at: str = "") -> int:
     """foreachBatch body: add unseen ids of one micro-batch to the store.
 
-    The store is probed with the batch's ids (broadcast when their counted
-    number is under ``BROADCAST_IDS_MAX``), so a small batch never shuffles
-    the store; the batch is then anti-joined against the few ids found.
+    The store is probed with the batch's ids, which Spark broadcasts below its
+    own size limit; the batch is then anti-joined against the few ids found.
     """
     spark = batch.sparkSession
     lines = batch.withColumn("line_no", F.monotonically_increasing_id()).withColumn("batch", F.lit(batch_id))
@@ -62,8 +60,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, captured_at:
         new = firsts
         if store is not None:
             ids = firsts.select("id")
-            probe = F.broadcast(ids) if n <= BROADCAST_IDS_MAX else ids
-            present = store.join(probe, "id", "left_semi")
+            present = store.join(ids, "id", "left_semi")
             new = firsts.join(present, "id", "left_anti")
         capture_to_posts(new, keep=["batch"]).write.mode("append").parquet(store_path)
     finally:

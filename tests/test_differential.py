@@ -76,5 +76,5 @@ def test_keyword_hits_match_python_re(spark, values):
     rows = df.select("i", "hay", *cols).orderBy("i").collect()
     for r in rows:
         for k, p in enumerate(PATTERNS):
-            want = re.search(R.anchor_pattern(p), r.hay, re.I) is not None
+            want = re.search(R.whole_word(p), r.hay, re.I) is not None
             assert r[f"p{k}"] == want, (r.hay, p)
