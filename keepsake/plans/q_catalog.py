@@ -91,3 +91,13 @@ FROM posts"""
 @register("public_payload", with_posts(_PAYLOAD_SQL))
 def public_payload_q(spark, sf_dir):
     return cat.public_payload_lines(posts(spark, sf_dir))
+
+
+@register("catalog_document", with_posts(f"""
+SELECT NULL::VARCHAR AS tag, 0 AS row, '' AS id, '# Bookmarks catalog' AS line
+UNION ALL SELECT NULL, 1, '', CAST(count(*) AS VARCHAR) || ' bookmarks.' FROM posts
+UNION ALL SELECT DISTINCT tag, 0, '', '## ' || tag {SQL_BY_TAG}
+UNION ALL SELECT tag, 1, id, {SQL_LINE} {SQL_BY_TAG}"""))
+def catalog_document_q(spark, sf_dir):
+    """Every line of the catalog with its place: title, total, headings, posts."""
+    return cat.catalog_document(posts(spark, sf_dir))

@@ -261,3 +261,32 @@ def enrich_with_udf_q(spark, sf_dir):
     """A Python enricher through mapInPandas with per-row error isolation."""
     r = E.enrich_pending(posts(spark, sf_dir), E.udf_enricher(sample_udf_enricher), now=NOW, offline=True)
     return r.select("id", "enrich_error", "summary", F.array_join("tags", "|").alias("tags"), "enriched")
+
+
+_LIMIT = 25
+
+
+@register("enrich_limit", with_posts(f"""
+SELECT p.id, CASE WHEN t.id IS NOT NULL AND t.text <> '' THEN true ELSE p.enriched END AS enriched,
+       CASE WHEN t.id IS NULL THEN p.enrich_error WHEN t.text = '' THEN 'fetch disabled; record is missing text'
+            ELSE '' END AS enrich_error
+FROM posts p LEFT JOIN (SELECT id, text FROM posts WHERE NOT enriched AND enrich_error = '' ORDER BY id LIMIT {_LIMIT}) t
+  ON p.id = t.id"""))
+def enrich_limit_q(spark, sf_dir):
+    """A run limited to the first pending ids; every other row stays as it is."""
+    r = E.enrich_pending(posts(spark, sf_dir), E.rules_enricher(), now=NOW, offline=True, limit=_LIMIT)
+    return r.select("id", "enriched", "enrich_error")
+
+
+@register("enrich_from_responses", with_posts("""
+SELECT p.id, CASE WHEN p.doc_id % 10 = 3 THEN p.enriched ELSE true END AS enriched,
+       CASE WHEN p.doc_id % 10 = 3 THEN 'invalid response: not a JSON object' ELSE '' END AS enrich_error,
+       CASE WHEN p.doc_id % 10 = 3 THEN p.topic ELSE p.lang END AS topic
+FROM posts p WHERE NOT p.enriched AND p.enrich_error = ''"""))
+def enrich_from_responses_q(spark, sf_dir):
+    """Model responses parsed and applied; a response that isn't JSON becomes that row's error."""
+    p = E.pending(posts(spark, sf_dir))
+    body = F.to_json(F.struct(F.col("text").alias("summary"), F.col("lang").alias("topic"), F.array("source").alias("tags")))
+    answers = p.select("id", F.when(F.col("id").cast("bigint") % 10 == 3, F.lit("no answer")).otherwise(body).alias("response"))
+    r = E.enrich_pending(p, E.response_enricher(answers), now=NOW)
+    return r.select("id", "enriched", "enrich_error", "topic")

@@ -81,6 +81,21 @@ def scan_enrichment_map_q(spark, sf_dir):
     return m.select("id", "summary", "topic", F.array_join("tags", "|").alias("tags"))
 
 
+@register("files_mapping", """
+SELECT CAST(doc_id AS VARCHAR) AS id,
+       CASE WHEN doc_id % 6 = 0 THEN 'override ' || CAST(doc_id AS VARCHAR) ELSE text END AS summary,
+       CASE WHEN doc_id % 6 = 0 THEN ' Topic ' ELSE lang END AS topic,
+       CASE WHEN doc_id % 6 = 0 THEN '' ELSE upper(lang) || '| |' || source END AS tags
+FROM documents WHERE doc_id % 2 = 0""")
+def files_mapping_q(spark, sf_dir):
+    """Enrichment files written with line breaks, read in the given order."""
+    from keepsake.plans.q_sources import written_documents
+
+    docs = mapping_documents(spark, sf_dir)
+    folders = [written_documents(spark, docs.where(F.col("file_ord") == i)) for i in (0, 1)]
+    return X.load_mapping(spark, folders).select("id", "summary", "topic", F.array_join("tags", "|").alias("tags"))
+
+
 # -- streaming -----------------------------------------------------------------------------
 
 _STREAM_SQL = """

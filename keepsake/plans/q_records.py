@@ -93,10 +93,11 @@ def copy_collection_q(spark, sf_dir):
     base = scratch_dir(spark)
     src = base + "/ndjson"
     (record_lines(spark, sf_dir).select(F.col("path").alias("collection"), "line_no", "value")
-     .repartition("collection").sortWithinPartitions("line_no").select("collection", "value")
+     .repartitionByRange("collection", "line_no").sortWithinPartitions("collection", "line_no")
+     .select("collection", "value")
      .write.partitionBy("collection").option("lineSep", "\n").text(src))
     raw = (spark.read.option("lineSep", "\n").text(src)
-           .select("collection", F.col("_metadata.file_path").alias("path"),
+           .select("collection", F.lit(0).alias("file_ord"), F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("line_no"), "value"))
     loaded = R.parse_record_lines(raw, F.col("collection"))

@@ -240,3 +240,40 @@ def parse_created_at_q(spark, sf_dir):
 def filter_responses_q(spark, sf_dir):
     """Logged responses of the bookmarks endpoint whose body parses."""
     return X.bookmark_responses(D.response_log(spark, sf_dir)).select("page_id")
+
+
+# -- the same documents, written as files and read back ------------------------------------
+
+
+def written_documents(spark, documents) -> str:
+    """Writes one multi-line file per document to the scratch folder; returns the folder."""
+    base = scratch_dir(spark)
+    indented = F.replace(F.replace(F.col("value"), F.lit('}, {"'), F.lit('},\n  {\n    "')), F.lit("], "), F.lit("],\n  "))
+    (documents.select(F.col("path").alias("doc"), indented.alias("value"))
+     .write.partitionBy("doc").option("lineSep", "\n").text(base))
+    return base
+
+
+def _without_place(sql: str) -> str:
+    return sql.replace("SELECT file_ord, pos, id", "SELECT id")
+
+
+@register("files_json_export", _without_place(_EXPORT_SQL))
+def files_json_export_q(spark, sf_dir):
+    """Multi-line export files, found and read as files, format detected per file."""
+    got = X.read_captures(spark, written_documents(spark, D.export_documents(spark, sf_dir)))
+    return _flat_posts(got).drop("file_ord", "pos")
+
+
+@register("files_rich", _without_place(_RICH_SQL))
+def files_rich_q(spark, sf_dir):
+    p = X.read_captures(spark, written_documents(spark, D.rich_documents(spark, sf_dir)))
+    return _flat_posts(p, "lang", metric("metrics", "likes").alias("likes"), metric("metrics", "views").alias("views"),
+                       metric("metrics", "ratio").alias("ratio"), F.size("metrics").cast("bigint").alias("n_metrics"),
+                       F.array_join("hashtags", "|").alias("hashtags")).drop("file_ord", "pos")
+
+
+@register("files_url_list", _without_place(_URLS_SQL))
+def files_url_list_q(spark, sf_dir):
+    got = X.read_captures(spark, written_documents(spark, D.url_list_documents(spark, sf_dir)))
+    return got.select("id", "url", "source")

@@ -74,7 +74,7 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     return root.rstrip("/") + "/keepsake-scratch/" + sub
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -87,7 +87,7 @@ def ship_package(spark: SparkSession) -> None:
     ``spark.keepsake.shipped=true`` to skip this.
     """
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId
     if key in _SHIPPED or spark.conf.get("spark.keepsake.shipped", "false") == "true":
         return
     import io

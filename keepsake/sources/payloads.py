@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 
-@udtf(returnType="pos: int, result: string")
+@udtf(returnType="pos: int, result: string", useArrow=True)
 class TweetResults:
     """(pos, result JSON) for each ``tweet_results.result`` object in
     pre-order; unparseable payloads yield nothing."""
