@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import bpe, chat, exact_dedup, minhash, mixing, pii, quality, toxicity, url_filter
+from keepsake.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,33 @@ def op7_minhash_dedup(spark, sf_dir):
 @query
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_BLANK = "[\\x20\\x09-\\x0D]+"
+_LINES = f"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'),
+    '{line_dedup.BLOCKS}', chr(10), 'g'), '<[^<>]*>', '', 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^{_BLANK}|{_BLANK}$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(sql=f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, {_LINES} AS lines,
+       CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host FROM pages),
+total AS (SELECT host, count(*) AS host_pages FROM p WHERE host <> '' GROUP BY host),
+often AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '')
+          JOIN total USING (host) WHERE host_pages >= {line_dedup.MIN_PAGES}
+          GROUP BY host, line, host_pages HAVING count(*) > {line_dedup.RATIO}::DOUBLE * host_pages),
+drops AS (SELECT host, list(line) AS d FROM often GROUP BY host)
+SELECT page_id, p.host, coalesce(host_pages, 0)::BIGINT AS host_pages, len(lines)::BIGINT AS n_lines,
+       (len(lines) - len(list_filter(lines, lambda x: NOT coalesce(list_contains(d, x), false))))::BIGINT AS n_dropped,
+       sha256(coalesce(array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(d, x), false)), chr(10)), '')) AS text_sha256
+FROM p LEFT JOIN total USING (host) LEFT JOIN drops USING (host)
+""")
+def op8_line_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = line_dedup.drop_boilerplate(pages)
+    return out.select("page_id", "cleaned.host", "cleaned.host_pages", "cleaned.n_lines", "cleaned.n_dropped",
+                      F.sha2(F.col("cleaned.text"), 256).alias("text_sha256"))
