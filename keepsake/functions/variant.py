@@ -63,12 +63,6 @@ def obj(v: Column) -> Column:
     return F.when(is_object(v), v)
 
 
-def nonempty_obj(v: Column) -> Column:
-    """``(v or {})`` used with ``.get``: the value when it is a non-empty
-    object, else NULL (an empty object answers every ``get`` with NULL)."""
-    return F.when(F.coalesce(F.size(_map(v)) > 0, F.lit(False)), v)
-
-
 def _scalar_truthy(v: Column) -> Column:
     j = F.to_json(v)
     zero = (~j.startswith('"')) & (F.try_variant_get(v, "$", "double") == 0)
@@ -90,11 +84,6 @@ def first_truthy(*vs: Column) -> Column:
     return F.coalesce(*[F.when(truthy(v), v) for v in vs])
 
 
-def first_truthy_text(*vs: Column, default: str = "") -> Column:
-    """``str(a or b or ... or default)`` for scalar values."""
-    return F.coalesce(*[F.when(truthy(v), text(v)) for v in vs], F.lit(default))
-
-
 def text(v: Column) -> Column:
     """Python ``str(value)`` for scalars (strings as-is, numbers as JSON text)."""
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))

@@ -48,11 +48,6 @@ def global_position(df: DataFrame, order: Sequence, partitions: int | None = Non
             .drop("_pid", "_mid", "_off"))
 
 
-def list_all(df: DataFrame, key: str = "id") -> DataFrame:
-    """All rows ordered by key as a string (UTF-8 binary = codepoint order)."""
-    return df.orderBy(F.col(key))
-
-
 def recent_order() -> list[Column]:
     """Most recent first (ISO text, descending), ties in id order."""
     return [F.coalesce(F.col("created_at"), F.lit("")).desc(), F.col("id").asc()]

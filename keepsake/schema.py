@@ -66,13 +66,6 @@ CAPTURE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
-# Generic id-keyed record: the whole object stays JSON text in ``data``.
-RECORD_SCHEMA = T.StructType([
-    T.StructField("collection", T.StringType(), False),
-    T.StructField("id", T.StringType(), False),
-    T.StructField("data", T.StringType(), False),
-])
-
 
 def _default(field: T.StructField) -> Column:
     t = field.dataType
