@@ -312,9 +312,12 @@ class NearGroups:
             best = F.max(F.struct("degree", (-F.col("node")).alias("less"), "comp"))
             pivot = materialise(members.groupBy("band", "value", slot.alias("slot")).agg(best.alias("p")).select(
                 "band", "value", (-F.col("p.less")).alias("b"), F.col("p.comp").alias("comp_b")))
-            pairs = members.join(pivot, ["band", "value"]).filter("comp <> comp_b").select("node", "b")
-            comps = self._linked(comps, pairs)
-            rest = members.join(pivot.select("band", "value", F.col("b").alias("node")), ["band", "value", "node"], "left_anti")
+            own = pivot.select("band", "value", F.col("b").alias("node"), F.lit(True).alias("is_pivot"))
+            members = members.join(own, ["band", "value", "node"], "left")
+            # two pivots of a bucket meet once
+            meet = (F.col("comp") != F.col("comp_b")) & (F.col("is_pivot").isNull() | (F.col("node") > F.col("b")))
+            comps = self._linked(comps, members.join(pivot, ["band", "value"]).filter(meet).select("node", "b"))
+            rest = members.filter("is_pivot is null").drop("is_pivot")
             if pivots == 1:
                 rest = rest.join(pivot.select("band", "value", F.col("b").alias("pivot")), ["band", "value"])
             members = self._open(materialise(rest), comps)
