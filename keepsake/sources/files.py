@@ -38,6 +38,11 @@ FILE_ORDER = ("file_ord", "path")
 LINE_ORDER = ("file_ord", "path", "block", "line_no")
 
 
+def line_order(raw: DataFrame) -> list[str]:
+    """The columns of :data:`LINE_ORDER` that lines from another reader have."""
+    return [c for c in LINE_ORDER if c in raw.columns]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, asked of the file system that holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from keepsake.functions.core import strip_ws
 from keepsake.operators.merge import dedupe_last
 from keepsake.schema import POST_FIELDS, POST_SCHEMA, conform_posts
-from keepsake.sources.files import LINE_ORDER, lines
+from keepsake.sources.files import line_order, lines
 
 
-def parse_post_lines(raw: DataFrame, order: Sequence[str] = LINE_ORDER) -> DataFrame:
+def parse_post_lines(raw: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Parse a ``value`` column of JSON lines into conformed posts, last wins."""
+    order = line_order(raw) if order is None else order
     body = raw.where(strip_ws(F.col("value")) != "")
     parsed = body.select(*order, F.from_json("value", POST_SCHEMA, {"mode": "FAILFAST"}).alias("p"))
     flat = parsed.select(*order, *[F.col("p." + f).alias(f) for f in POST_FIELDS])

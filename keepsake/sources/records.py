@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.core import strip_ws
 from keepsake.operators.merge import changed_rows, dedupe_last
-from keepsake.sources.files import LINE_ORDER, lines
+from keepsake.sources.files import line_order, lines
 
 RECORD_KEY = ["collection", "id"]
 MISSING_ID = "record is missing required id field {}"
@@ -38,10 +38,11 @@ def record_id(data, id_field: str = "id"):
 
 
 def parse_record_lines(raw: DataFrame, collection, id_field: str = "id",
-                       order: Sequence[str] = LINE_ORDER, require: bool = False) -> DataFrame:
+                       order: Sequence[str] | None = None, require: bool = False) -> DataFrame:
     """(collection, id, data) from JSON lines; blank lines skipped, rows with
     an empty id dropped (or, with ``require``, failing the job), the last line of
     an id wins.  A malformed line fails the read."""
+    order = line_order(raw) if order is None else order
     coll = F.lit(collection) if isinstance(collection, str) else collection
     body = raw.where(strip_ws(F.col("value")) != "")
     # one-row generator: the id filter below is not pushed under the parse
