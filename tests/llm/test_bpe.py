@@ -6,6 +6,7 @@ import pytest
 
 from keepsake.llm import bpe
 from keepsake.llm.queries import QUERIES, tokenizer_path
+from llm_helpers import docs  # noqa: F401
 
 
 @pytest.fixture(scope="module")

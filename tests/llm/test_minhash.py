@@ -6,6 +6,7 @@ import numpy as np
 
 from keepsake.llm import minhash
 from keepsake.llm.queries import QUERIES
+from llm_helpers import docs  # noqa: F401
 
 
 def shingles(t):

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from keepsake.llm import mixing
 from keepsake.llm.queries import QUERIES
+from llm_helpers import docs  # noqa: F401
 
 
 def size(t):

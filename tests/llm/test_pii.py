@@ -3,6 +3,7 @@ import re
 
 from keepsake.llm import pii
 from keepsake.llm.queries import QUERIES
+from llm_helpers import docs  # noqa: F401
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",

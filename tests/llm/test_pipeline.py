@@ -11,6 +11,7 @@ from keepsake.llm import mixing
 from keepsake.llm.common import materialise
 from keepsake.llm.queries import quality_sql, tokenizer_path
 from test_minhash import brute
+from llm_helpers import docs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

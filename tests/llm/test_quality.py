@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from keepsake.llm import quality
+from llm_helpers import docs  # noqa: F401
 
 VOCABULARY = [a + b for a in ("lor", "mip", "dan", "ket", "sul", "ver", "pon") for b in ("a", "em", "ist", "or", "und", "e")]
 
