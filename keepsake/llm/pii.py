@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Each kind has a pattern, a validator (digit counts, octet range, Luhn, mod-97)
-and a starting score.  Words just before a span raise or lower the score; a
-span is reported when its score reaches ``THRESHOLD``.  The base kinds start
+and a starting score.  Words in the ``CONTEXT`` code points before a span, whatever
+earlier spans stand there, raise or lower the score; a span is reported when its score reaches ``THRESHOLD``.  The base kinds start
 at the threshold when valid and can't fall below it; the further kinds
 (``iban``, ``ssn``, ``secret``) need their checksum or a context word.
 
@@ -115,9 +115,9 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: Kind, before: Column) -> Column:
+def _score(kind: Kind, near: Column) -> Column:
     out = F.lit(kind.start)
-    near = F.lower(F.right(before, F.lit(CONTEXT)))
+    near = F.lower(near)
     if kind.raises:
         out = out + F.when(near.rlike(rf"\b(?:{kind.raises})"), 0.4).otherwise(0.0)
     if kind.lowers:
@@ -137,15 +137,21 @@ def spans_of(text: Column, kind: Kind) -> Column:
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found,
                        lambda before, match: F.struct(before.alias("before"), match.alias("match")))
     order = KINDS.index(kind)
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    empty = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def last(before, more):
+        # what stands last before a place; handed on, as cutting it from the text would count from its start each time
+        return F.right(F.concat(before, F.right(more, F.lit(CONTEXT))), F.lit(CONTEXT))
 
     def step(acc, x):
+        near = last(acc["tail"], x["before"])
         start = acc["pos"] + F.char_length(x["before"])
         end = start + F.char_length(x["match"])
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"),
-                        F.lit(kind.name).alias("kind"), _score(kind, x["before"]).alias("score"))
+                        F.lit(kind.name).alias("kind"), _score(kind, near).alias("score"))
         hit = F.when(_valid(kind.name, x["match"]), F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], hit).alias("out"))
+        return F.struct(end.alias("pos"), last(near, x["match"]).alias("tail"),
+                        F.concat(acc["out"], hit).alias("out"))
 
     hits = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
     may = text.contains(kind.needs) if kind.needs == "@" else text.rlike(kind.needs)

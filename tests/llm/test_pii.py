@@ -79,3 +79,13 @@ def test_mask_and_empty_table(docs, spark):
     d = pii.find_personal_data(docs([(1, "mail é a@b.cc now 10.0.0.1")]))
     assert d.select(pii.mask(F.col("text"), F.col("pii"))).first()[0] == "mail é <email> now <ip>"
     assert pii.find_personal_data(docs([])).count() == 0
+
+
+def test_context_is_read_across_earlier_spans(docs):
+    a, b = "24be64439e3e49cf46b2", "9f0c1d2e3b4a59687706"
+    rows = [(1, "ssn 078-05-1120, 219-09-9999"), (2, f"tokens: {a} {b}"), (3, "ssn " + "-" * 37 + " 078-05-1120"),
+            (4, f"secret {'x' * 20} {a}"), (5, f"é𝄞 ssn 078-05-1120, 219-09-9999 {'.' * 40} 219-09-9998")]
+    got = {r["doc_id"]: [(s["start"], s["kind"]) for s in r["pii"]]
+           for r in pii.find_personal_data(docs(rows)).collect()}
+    assert got == {1: [(4, "ssn"), (17, "ssn")], 2: [(8, "secret"), (29, "secret")], 3: [], 4: [(28, "secret")],
+                   5: [(7, "ssn"), (20, "ssn")]}
