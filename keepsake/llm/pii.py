@@ -46,6 +46,30 @@ class Kind:
     lowers: str = ""
 
 
+#: Characters of an IBAN by country: the ISO 13616 registry, and countries that use IBANs without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Exactly as long as the country's IBANs, so that a following word or IBAN is left alone; other codes as far as
+    groups go, up to the next IBAN of a known country."""
+    def of(length: int, codes: str) -> str:
+        groups, rest = divmod(length - 4, 4)
+        return (f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}"
+                + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    known = "(?:" + "|".join(IBAN_LENGTHS.values()).replace(" ", "|") + ")[0-9]{2}"
+    other = (rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{known}))?[A-Z0-9]{{4}}){{2,7}}"
+             rf"(?:(?: (?!{known}))?[A-Z0-9]{{1,3}})?")
+    return ("(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(of(n, c) for n, c in IBAN_LENGTHS.items())
+            + f"|{other})(?![A-Za-z0-9])")
+
+
 _DIGITS = r"(?:(?<![0-9])|\G)[0-9]++"
 
 #: Kinds in report order, base kinds first.
@@ -56,8 +80,7 @@ KINDS = (
     Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", r"[0-9](?:[ -]?[0-9]){11}", 0.8, "card|visa|credit|pay",
          "order|invoice|isbn"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-         r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account"),
+    Kind("iban", _iban_pattern(), r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3,
          "ssn|social security", "order|invoice|part"),
     Kind("secret", r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]{20,}+", r"[A-Za-z0-9_+/-]{20}", 0.3,

@@ -89,3 +89,13 @@ def test_context_is_read_across_earlier_spans(docs):
            for r in pii.find_personal_data(docs(rows)).collect()}
     assert got == {1: [(4, "ssn"), (17, "ssn")], 2: [(8, "secret"), (29, "secret")], 3: [], 4: [(28, "secret")],
                    5: [(7, "ssn"), (20, "ssn")]}
+
+
+def test_ibans_before_upper_case_words_and_other_ibans(docs):
+    full = ["ES91 2100 0418 4502 0005 1332", "BE68539007547034", "SE45 5000 0000 0583 9825 7466", "AT611904300234573201",
+            "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606"]
+    rows = [(i, f"é {iban}{after}") for i, iban in enumerate(full) for after in (" BIC CAIXESBB", " EUR 50", " BANK", "")]
+    rows += [(90, " ".join(full)), (91, "XX12 3456 7890 " + full[0]), (92, "ES91 2100 0418 4502 0005 1333 BIC")]
+    for r in pii.find_personal_data(docs(rows)).collect():
+        got = [r["text"][s["start"]:s["end"]] for s in r["pii"] if s["kind"] == "iban"]
+        assert got == {90: full, 91: [full[0]], 92: []}.get(r["doc_id"], full[r["doc_id"] % 90:r["doc_id"] % 90 + 1])
