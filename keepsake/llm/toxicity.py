@@ -11,6 +11,13 @@ after each fit, while every word of a clean document is clean.  A document's
 score is a logistic function, fitted on documents kept aside, of the largest
 and the second largest margin of its words.
 
+Blanks and line breaks are gaps too: every run of adjacent words of up to
+``WINDOW`` characters together is also read as one word, without its blanks
+("id iot").  A document's best run counts where it beats all of its words; it is
+then the first and the best word the second.  The same holds in training: such a
+run is a witness of its toxic document, and the worst runs of clean documents
+join the clean words after each fit.
+
 Landmarks drop out in use: the machine is one weight per character triple (a
 table of fixed size), so scoring is linear in the text and needs no exchange.
 
@@ -55,6 +62,8 @@ COST = 20_000.0
 #: Fits, each with newly chosen witnesses and more of the hardest clean words.
 ROUNDS = 6
 FOLDS = 5
+#: Least margin of a text: that of clean words, also for what holds no word of three characters.
+CLEAN = -1.0
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*|-_=~…«»„“”"
 _SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 
@@ -116,6 +125,38 @@ def tokens(text: str) -> set[str]:
     return out
 
 
+class Stream:
+    """Texts as one row of characters without blanks, from which runs of adjacent words are read."""
+
+    def __init__(self, texts: list[str | None]):
+        found = [[w for w in map(clean_word, t.lower().split()) if w] if t else [] for t in texts]
+        self.joined = "".join("".join(f) for f in found)
+        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        self.codes = SYMBOLS.astype(np.uint8)[np.minimum(points, 0x2FFF)]
+        counts = np.array([len(f) for f in found], np.int64)
+        self.owner = np.repeat(np.arange(len(found)), counts)
+        self.last = np.repeat(np.cumsum(counts), counts)
+        self.place = np.concatenate([[0], np.cumsum([len(w) for f in found for w in f])]).astype(np.int64)
+
+    def runs(self, block: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(texts, first characters, length) of the runs of two words and more of 3 to WINDOW characters."""
+        for k in range(0, len(self.owner), block):
+            first = np.arange(k, min(k + block, len(self.owner)))
+            by_length: list[list[np.ndarray]] = [[] for _ in range(WINDOW + 1)]
+            for words in range(2, WINDOW + 1):
+                first = first[first + words <= self.last[first]]
+                length = self.place[first + words] - self.place[first]
+                first, length = first[length <= WINDOW], length[length <= WINDOW]
+                if not len(first):
+                    break
+                for n in range(3, WINDOW + 1):
+                    by_length[n].append(first[length == n])
+            for n, parts in enumerate(by_length):
+                which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                if len(which):
+                    yield self.owner[which], self.place[which], n
+
+
 def windows_of(word: str) -> list[str]:
     if len(word) <= WINDOW:
         return [word]
@@ -138,20 +179,52 @@ class Machine:
         short, owner = [], []
         for i, t in enumerate(found):
             for w in windows_of(clean_word(t)):
-                short.append(w)
-                owner.append(i)
+                if len(w) >= 3:
+                    short.append(w)
+                    owner.append(i)
         best = np.full(len(found), -np.inf)
         if short:
             np.maximum.at(best, owner, self.margins(short))
         return dict(zip(found, best.tolist()))
 
+    def run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int = 4096) -> np.ndarray:
+        """Margins of the n characters from each place on, triple by triple over blocks that fit a processor's cache."""
+        out = np.empty(len(at))
+        table = self.weights.astype(np.float32, copy=False)
+        norm = triples(n + 2)[2]
+        for k in range(0, len(at), block):
+            part = at[k:k + block]
+            s = [START, *(stream.codes[part + i].astype(np.int64) for i in range(n)), STOP]
+            sums = np.zeros((n + 2, len(part)), np.float32)
+            code, got = np.empty(len(part), np.int64), np.empty(len(part), np.float32)
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    pair = (s[i] * ALPHABET + s[j]) * ALPHABET
+                    for m in range(j + 1, n + 2):
+                        np.add(pair, s[m], out=code)
+                        np.take(table, code, out=got, mode="clip")
+                        sums[m - i] += got
+            out[k:k + block] = (DECAY ** np.arange(1.0, n + 3) / norm) @ sums + self.offset
+        return out
+
+    def best_runs(self, stream: Stream, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the largest margin of a run (-inf without runs), and that run's place and length."""
+        best, place, length = np.full(texts, -np.inf), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        for owner, at, n in stream.runs():
+            m = self.run_margins(stream, at, n)
+            order = np.lexsort((-m, owner))
+            top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+            top = top[m[top] > best[owner[top]]]
+            best[owner[top]], place[owner[top]], length[owner[top]] = m[top], at[top], n
+        return best, place, length
+
     def document_margins(self, texts: list[str | None]) -> np.ndarray:
-        """The two largest margins of each text's words."""
+        """The two largest margins of each text's words, or its best run's and best word's if the run's is larger."""
         sets = [tokens(t) if t else set() for t in texts]
         of = self.token_margins(list(set().union(*sets))) if sets else {}
-        out = np.full((len(texts), 2), self.offset)
+        out = np.full((len(texts), 2), CLEAN)
         for i, s in enumerate(sets):
-            first = second = self.offset
+            first = second = CLEAN
             for t in s:
                 m = of[t]
                 if m > first:
@@ -159,6 +232,9 @@ class Machine:
                 elif m > second:
                     second = m
             out[i] = first, second
+        runs = np.concatenate([self.best_runs(Stream(t), len(t))[0] for t in _chunks(texts)] or [np.zeros(0)])
+        beaten = runs > out[:, 0]
+        out[beaten] = np.column_stack([runs, out[:, 0]])[beaten]
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -199,8 +275,8 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.features.shape[1]))
         for which, code, weight in codes_by_length(words):
-            for k in range(0, len(which), 500):
-                out[which[k:k + 500]] = np.einsum("wtm,t->wm", self.features[self.column[code[k:k + 500]]], weight)
+            for k in range(0, len(which), 100):
+                out[which[k:k + 100]] = np.einsum("wtm,t->wm", self.features[self.column[code[k:k + 100]]], weight)
         return out
 
     def map(self, words: list[str]) -> np.ndarray:
@@ -279,6 +355,32 @@ def near_copies(bags: list[list[str]]) -> list[bool]:
     return out
 
 
+def _chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about ``most`` characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "") + 1
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def worst_runs(machine: Machine, streams: list[Stream], most: int) -> list[str]:
+    """The distinct runs with the largest margins, of those above -1."""
+    found: dict[str, float] = {}
+    for stream in streams:
+        for _, at, n in stream.runs():
+            m = machine.run_margins(stream, at, n)
+            top = np.argsort(-m)[:2 * most]
+            found.update((stream.joined[at[k]:at[k] + n], float(m[k])) for k in top if m[k] > -1)
+        if len(found) > 4 * most:
+            found = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return sorted(found, key=lambda w: (-found[w], w))[:most]
+
+
 def train(texts: list[str], toxic: list[int], prior: float, seed: int = 5) -> Machine:
     """Fits on labelled texts; every fourth text of a class calibrates the logistic function."""
     rng = np.random.default_rng(seed)
@@ -311,12 +413,24 @@ def train(texts: list[str], toxic: list[int], prior: float, seed: int = 5) -> Ma
     share = len(bad) / (len(bad) + sum(not y and not a for y, a in zip(toxic, aside)))
     enough = np.log(len(seen[0]) + 1) / -np.log(share) if share < 1 else np.inf
     sure = [k for k, w in enumerate(pool) if seen[1][w] >= max(3, enough) and not seen[0][w]]
+    bad_runs = Stream([texts[i] for i in bad])
+    clean_runs = [Stream(t) for t in _chunks([x for x, y, a in zip(texts, toxic, aside) if not y and not a])]
+    machine = None
     for turn_ in range(ROUNDS):
-        witness = sure + [k for bag in own for k in sorted((place[w] for w in bag), key=lambda k: -rate[k])[:2]]
-        extra = marks.map([_stretched(pool[k], rng) for k in witness])
-        x = np.vstack([pool_x[witness], extra, clean_x])
-        y = np.concatenate([np.ones(2 * len(witness)), -np.ones(len(clean))])
-        cost = np.concatenate([np.full(2 * len(witness), 0.5 / len(witness)), np.full(len(clean), 1 / len(clean))]) * COST
+        two = [sorted((place[w] for w in bag), key=lambda k: -rate[k])[:2] for bag in own]
+        gapped = []
+        if machine is not None:  # a run that beats its document's words is a witness in place of the second word
+            best, at, length = machine.best_runs(bad_runs, len(bad))
+            for i in np.flatnonzero(best > -np.inf):
+                if not two[i] or best[i] > rate[two[i][0]]:
+                    two[i] = two[i][:1]
+                    gapped.append(bad_runs.joined[at[i]:at[i] + length[i]])
+        witness = sure + [k for few in two for k in few]
+        shown = [pool[k] for k in witness] + gapped
+        extra = marks.map([_stretched(w, rng) for w in shown])
+        x = np.vstack([pool_x[witness], marks.map(gapped), extra, clean_x])
+        y = np.concatenate([np.ones(2 * len(shown)), -np.ones(len(clean))])
+        cost = np.concatenate([np.full(2 * len(shown), 0.5 / len(shown)), np.full(len(clean), 1 / len(clean))]) * COST
         v, offset = fit_svm(x, y, cost)
         rate = pool_x @ v + offset
         machine = Machine(marks.weights(v), offset, np.zeros(3))
@@ -324,9 +438,11 @@ def train(texts: list[str], toxic: list[int], prior: float, seed: int = 5) -> Ma
             all_margins = machine.margins(common)
             known = set(clean)
             worst = [common[k] for k in np.argsort(-all_margins)[:6000] if all_margins[k] > -1 and common[k] not in known]
-            if worst[:3000]:
-                clean_x = np.vstack([clean_x, marks.map(worst[:3000])])
-                clean = clean + worst[:3000]
+            joined = [w for w in worst_runs(machine, clean_runs, 3000) if w not in known]
+            more = list(dict.fromkeys(worst[:3000] + joined))
+            if more:
+                clean_x = np.vstack([clean_x, marks.map(more)])
+                clean = clean + more
     held = [i for i, a in enumerate(aside) if a] or list(range(len(texts)))
     y = np.array([toxic[i] for i in held], float)
     if 0 < y.sum() < len(y):

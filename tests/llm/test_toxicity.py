@@ -88,3 +88,35 @@ def test_query_runs_over_all_documents(spark):
     got = QUERIES["op3_toxicity"](spark, sf).collect()
     ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     assert {r["doc_id"] for r in got} == ids and len(got) == len(ids)
+
+
+def test_insults_gapped_by_blanks_and_line_breaks():
+    rows = corpus(400, 1)
+    m = tox.train([r[1] for r in rows], [r[2] for r in rows], 0.25)
+    rng = random.Random(9)
+    plain = [text(rng, False) for _ in range(42)]
+    gapped = ["id iot", "clo wn", "lo\nser", "i d\ni o t", "stu p id", "path -\netic", "p a t\nh e t i c"]
+    odd = [t.replace(" ", f" {w} ", 1) for t, w in zip(plain, gapped * 6)]
+    assert m.scores(odd).mean() > m.scores(plain).mean() + 0.4
+    assert sum(m.scores([t]).item() >= 0.5 for t in odd) >= 0.9 * len(odd)
+
+
+def test_runs_of_words_against_plain_python():
+    rng = random.Random(3)
+    texts = ["a b c", None, "", "x" * 40 + " é𝄞 - ab", "one", "id iot\nyou"] + [
+        " ".join("ab-c"[:rng.randint(1, 4)] * rng.randint(1, 3) for _ in range(60)) for _ in range(5)]
+    m = tox.Machine(np.random.default_rng(1).normal(size=tox.ALPHABET ** 3), 0.2, np.zeros(3))
+    stream, got = tox.Stream(texts), []
+    for owner, at, n in stream.runs(block=7):
+        margins = m.run_margins(stream, at, n, block=5)
+        got += [(o, stream.joined[a:a + n], round(v, 3)) for o, a, v in zip(owner.tolist(), at.tolist(), margins.tolist())]
+    want = []
+    for i, t in enumerate(texts):
+        words = [w for w in map(tox.clean_word, (t or "").lower().split()) if w]
+        runs = ["".join(words[a:b]) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+        want += [(i, r) for r in runs if 3 <= len(r) <= tox.WINDOW]
+    assert sorted(g[:2] for g in got) == sorted(want)
+    assert np.allclose([g[2] for g in got], m.margins([g[1] for g in got]), atol=2e-3)
+    best = m.best_runs(stream, len(texts))[0]
+    assert all(np.isclose(best[i], max((g[2] for g in got if g[0] == i), default=-np.inf), atol=2e-3)
+               for i in range(len(texts)))
