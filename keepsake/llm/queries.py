@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from keepsake.llm.common import table
-from keepsake.llm import bpe, chat, exact_dedup, line_dedup, minhash, mixing, pii, quality, toxicity, url_filter
+from keepsake.llm import (bpe, chat, collocations, divergence, exact_dedup, line_dedup, minhash, mixing, pii, quality,
+                          token_files, toxicity, url_filter)
+from keepsake.session import scratch_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +178,79 @@ def op8_line_dedup(spark, sf_dir):
     out = line_dedup.drop_boilerplate(pages)
     return out.select("page_id", "cleaned.host", "cleaned.host_pages", "cleaned.n_lines", "cleaned.n_dropped",
                       F.sha2(F.col("cleaned.text"), 256).alias("text_sha256"))
+
+
+def divergence_sql() -> str:
+    """DuckDB SQL of the divergence audit over ``documents``."""
+    from keepsake.llm.divergence import LEAST, SCALE, TOP
+
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all({_NORM}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+hits AS (SELECT r, lang, source, unnest(terms) AS term FROM doc),
+kept AS (SELECT lang, term FROM hits GROUP BY lang, term HAVING count(DISTINCT r) >= {LEAST}),
+found AS (SELECT lang, source, term, count(*) AS n FROM hits JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT d.lang, d.source, coalesce(f.n, 0)::HUGEINT AS n, coalesce(k.v, 0)::HUGEINT AS v
+          FROM (SELECT DISTINCT lang, source FROM doc) d
+          LEFT JOIN (SELECT lang, source, sum(n) AS n FROM found GROUP BY ALL) f USING (lang, source)
+          LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) k USING (lang)),
+p AS (SELECT s.lang, s.source, k.term, coalesce(f.n, 0) AS n,
+             1 + {SCALE}::HUGEINT * (coalesce(f.n, 0) + 1) // (s.n + s.v) AS p
+      FROM sizes s JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + {SCALE}::HUGEINT * (n + 1) // (total + v) AS q
+      FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM found GROUP BY ALL)
+      JOIN (SELECT lang, sum(n) AS total, max(v) AS v FROM sizes GROUP BY lang) USING (lang)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                 coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+          FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+          FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= {TOP}
+"""
+
+
+@query(sql=divergence_sql())
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_files(spark, sf_dir):
+    path = scratch_dir(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+def collocation_sql() -> str:
+    """DuckDB SQL of the phrase collocations over ``documents``."""
+    from keepsake.llm.collocations import COVERED, LEAST, TOP
+
+    return f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORM}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM spots, range(1, 4) AS s(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {LEAST}),
+cuts AS (SELECT p.lang, p.k, p.phrase, p.a, c.c, x.f AS l, y.f AS r, 1000000 * p.a * p.a // (x.f * y.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS c FROM parts) c JOIN parts p USING (lang, phrase)
+         JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.w[1:c.c], ' ')
+         JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.w[c.c + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM parts WHERE k = 3),
+cover AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY ALL)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT x.lang, x.phrase, x.a, x.l, x.r, x.score, n.n, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+  FROM lowest x JOIN n USING (lang) LEFT JOIN cover c ON c.lang = x.lang AND c.phrase = x.phrase AND x.k = 2
+  WHERE c.most IS NULL OR 100 * c.most < {COVERED} * x.a) WHERE rank <= {TOP}
+"""
+
+
+@query(sql=collocation_sql())
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
