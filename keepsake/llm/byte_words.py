@@ -66,15 +66,14 @@ def word_spans(raw: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def gather(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    """The bytes of disjoint ascending spans as an Arrow array."""
-    take = np.zeros(len(raw) + 1, np.int8)
-    take[starts] = 1
-    np.add.at(take, stops, -1)
+def found_words(raw: np.ndarray, ends: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first byte of each run of ``word`` bytes, number of runs in each text, the runs with A-Z lower-cased)."""
+    starts, stops = word_spans(raw, ends, word)
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(stops - starts, out=offsets[1:])
-    kept = raw[np.cumsum(take[:-1], dtype=np.int8).view(bool)]
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    kept = LOWER[raw[word[raw]]]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return starts, np.diff(np.searchsorted(starts, ends)), words
 
 
 def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.session import scratch_dir
@@ -35,17 +36,32 @@ def lower_ascii(col: Column) -> Column:
     return F.when(ascii_only, F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, rows: int | None = None, **options) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage: later steps reread the files, so a lost executor never
-    recomputes (and never renumbers) what was written.
+    recomputes (and never renumbers) what was written.  ``rows``: at most so many in
+    an Arrow batch meanwhile, where rows are large; ``options`` are the writer's.
     """
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What runs inside gives Python at most ``rows`` rows at a time (None: the session's number)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -59,28 +59,67 @@ def test_equals_brute_force(docs):  # noqa: F811
     assert got(docs(ROWS).repartition(5)) == brute(ROWS)
 
 
-def test_spilling_changes_nothing(docs, spark):  # noqa: F811
+def counted(runs, least=1):
+    rows = collocations.merged_counts(runs, least).collect()
+    assert len({(r["lang"], r["phrase"]) for r in rows if r["n_words"]}) == sum(r["n_words"] > 0 for r in rows)
+    return {(r["lang"], r["phrase"]): r["f"] for r in rows if r["n_words"]}
+
+
+def test_runs_and_partitions_change_nothing(docs, spark):  # noqa: F811
+    whole = collocations.phrase_runs(docs(ROWS).coalesce(1), partitions=1)
+    assert whole.count() == whole.select("lang").distinct().count()
+    want = counted(whole)
+    assert want[("en", "hot pair hot")] == 2999 and want[("en", "hot pair")] == 3000 and want[("en", "hot")] == 3000
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
     try:
-        runs = collocations.phrase_runs(docs(ROWS).coalesce(1), held=40)
+        runs = collocations.phrase_runs(docs(ROWS).coalesce(1), held=40, partitions=7)
+        assert runs.groupBy("partition", "lang").count().filter("count > 1").count() > 0  # several runs
+        assert counted(runs) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert runs.groupBy("lang", "phrase").count().filter("count > 1").count() > 0  # several runs
-    merged = {(r["lang"], r["phrase"]): r["f"] for r in collocations.merged_counts(runs).collect()}
-    whole = collocations.phrase_runs(docs(ROWS).coalesce(1))
-    assert merged == {(r["lang"], r["phrase"]): r["f"] for r in collocations.merged_counts(whole).collect()}
+    assert counted(collocations.phrase_runs(docs(ROWS).repartition(6), held=10), 5) == {k: n for k, n in want.items() if n >= 5}
+
+
+def test_merging_runs_with_many_words_uses_the_long_way():
+    """Keys that pass 63 bits are sorted column by column."""
+    row = {"words": b"a b", "entries": 2, "first": bytes([1, 1]), "second": bytes([0, 2]), "third": bytes([0, 1]), "n": bytes([3, 2])}
+    many = {"words": " ".join(f"w{k}" for k in range(2_200_000)).encode(), "entries": 1, "first": b"\1", "second": b"\0",
+            "third": b"\0", "n": b"\7"}
+    for rows, kinds in (([row, row], 3), ([row, many, row], 2_200_003)):
+        first, second, third, n, words = collocations.merge(rows)
+        assert len(words) + 1 == kinds and n.tolist()[:2] == [6, 4]
+        assert (first[1], second[1], third[1]) == (1, 2, 1) and words[0].as_py() == b"a"
 
 
 def test_trie_bursts_and_gives_whole_subtrees():
-    trie = collocations.HatTrie(burst=3)
-    first = np.array([1, 1, 1, 1, 2])
-    rest = np.array([(5 << 32) | 6, (5 << 32) | 7, (8 << 32), (9 << 32) | 1, 0])
-    trie.add(first, rest, np.array([1, 2, 3, 4, 5]))
-    trie.add(first, rest, np.array([10, 10, 10, 10, 10]))
-    assert trie.open == {1} and trie.held == 5 and trie.largest(1) == [1]
-    f, r, n = trie.take([1])
-    assert f.tolist() == [1] * 4 and r.tolist() == sorted(rest[:4].tolist()) and n.tolist() == [11, 12, 13, 14]
-    assert trie.held == 1 and not trie.open
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    trie, want = collocations.HatTrie(burst=8), Counter()
+    for _ in range(30):
+        words = np.where(rng.random((200, 3)) < 0.5, 1, rng.integers(1, 60, (200, 3)))
+        keys, n = np.unique(words @ np.array([1 << 42, 1 << 21, 1]), return_counts=True)
+        trie.add(keys, n)
+        want.update(dict(zip(keys.tolist(), n.tolist())))
+    assert 1 in trie.below and trie.below[1].below  # burst twice
+    total = trie.held
+    got = Counter()
+    while trie.held:
+        keep = trie.held // 2
+        keys, n = trie.take(keep)
+        assert trie.held <= keep and (np.diff(keys) > 0).all()
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    assert got == want and total >= len(want) and not trie.root and not trie.below
+
+
+def test_more_words_than_numbers(docs, spark):  # noqa: F811
+    """One text with more distinct words than a task numbers at a time."""
+    text = " ".join(f"w{k}" for k in range(1_200_000)) + " . " + "again and again " * 30
+    rows = collocations.merged_counts(collocations.phrase_runs(docs([(1, text, "en", "s")])), 10).collect()
+    assert {r["phrase"]: r["f"] for r in rows if r["n_words"]} == {
+        "again": 60, "and": 30, "again and": 30, "and again": 30, "again again": 29, "again and again": 30,
+        "and again again": 29, "again again and": 29}
+    assert sum(r["f"] for r in rows if not r["n_words"]) == 1_200_000 + 90
 
 
 def test_empty_repeats_and_extra_columns(docs):  # noqa: F811
