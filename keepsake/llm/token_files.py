@@ -20,10 +20,11 @@ values, so a reader that wants a few documents, or a window of the token stream,
 or only the metadata, skips the other pages and columns (``read_tokens``,
 ``read_window``, ``read_spans``).
 
-Encoding uses the tokenizers library.  White space never takes part in a token and
-no rule of the tokenizer reaches across it, so texts are split at ASCII white space,
-each distinct chunk is encoded once by a worker (which remembers up to ``REMEMBER``
-short ones) and ids are put together by numpy.
+Encoding uses the tokenizers library.  Its rules for this kind of file (words, single
+digits and runs of other signs are tokenized apart, white space is dropped, letters
+lower-cased) never reach across white space, nor from a letter or digit to a full stop
+or comma.  So texts are cut there, each distinct chunk is encoded once by a worker
+(which remembers up to ``REMEMBER``), and numpy puts the ids together.
 
 The text is exchanged once (range partitions by id and a hash of the text, so rows
 that repeat an id spread too).  Nothing is collected; ``parts`` has as many rows as
@@ -48,21 +49,105 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepsake.llm.byte_words import blocks
+from keepsake.llm.byte_words import LOWER, blocks, byte_class, coded, raw_bytes, texts_of
+from keepsake.llm.common import arrow_rows, materialise
 from keepsake.session import ship_package
 
 #: Appended to each document.
 END_ID = 2
-#: Distinct chunks of at most SHORT characters that a worker remembers before it starts anew.
-REMEMBER = 500_000
-SHORT = 64
+#: Distinct chunks that a worker remembers, of SHORT bytes on average at most, before it starts anew.
+REMEMBER = 2_000_000
+SHORT = 32
+#: Bytes of text that a worker encodes at a time; a longer text is encoded alone.
+BLOCK = 4 << 20
+#: Documents that Spark hands to a worker at a time.
+ROWS = 1000
 #: Uncompressed bytes of a row group and of a page.
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 
 
+def _byte_kinds() -> np.ndarray:
+    table = np.full(256, OTHER, np.uint8)
+    table[[0x20, *range(0x09, 0x0E)]] = BLANK
+    table[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    table[list(b".,;:!?")] = STOP
+    return table
+
+
+#: What a byte is part of, as far as that settles where a token can't reach across.
+BLANK, LETTER, STOP, OTHER = range(4)
+KINDS = _byte_kinds()
+
+
+def byte_kinds(raw: np.ndarray) -> np.ndarray:
+    """Kind of each byte; U+00C0 to U+024F count as letters, with three exceptions."""
+    kinds = KINDS[raw]
+    high = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))
+    high = high[high + 1 < len(raw)]
+    # two signs, and a letter whose small form ends with a mark
+    high = high[~(((raw[high] == 0xC3) & np.isin(raw[high + 1], (0x97, 0xB7))) | ((raw[high] == 0xC4) & (raw[high + 1] == 0xB0)))]
+    kinds[high] = kinds[high + 1] = LETTER
+    return kinds
+
+
+def chunk_spans(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks of all texts in a row, each text's number of chunks).
+
+    Texts are cut at white space and between a letter or digit and one of ``.,;:!?``,
+    across which no token reaches, and their ASCII letters lower-cased.  A text that
+    may name a special token is only cut at white space.
+    """
+    raw, ends = raw_bytes(texts)
+    kinds, low = byte_kinds(raw), LOWER[raw]
+    for k in np.flatnonzero(pc.match_substring(texts, b"<|").to_numpy(zero_copy_only=False)):
+        own = slice(ends[k], ends[k + 1])
+        low[own] = raw[own]
+        kinds[own][kinds[own] != BLANK] = OTHER
+    inside = kinds != BLANK
+    begins = inside.copy()
+    before, here = kinds[:-1], kinds[1:]
+    cut = (before == BLANK) | ((before == LETTER) & (here == STOP)) | ((before == STOP) & (here == LETTER))
+    begins[1:] &= cut
+    edges = ends[:-1][ends[:-1] < len(raw)]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    kept = low[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(kept)).astype(np.int64)
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return chunks, np.diff(np.searchsorted(starts, ends))
+
+
+#: Bytes of which a chunk is one word to the tokenizer: ASCII letters, and those that spell U+00C0 to U+024F.
+_ONE_WORD = byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+
+
+def _parts(places: np.ndarray, most: int = 8192) -> list[np.ndarray]:
+    return [places[k:k + most] for k in range(0, len(places), most)]
+
+
+_SIGNS = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def span_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings, to look them up by; equal hashes are compared further."""
+    raw, ends = raw_bytes(words)
+    if not _POWERS or len(_POWERS[0]) < len(raw):
+        size = max(1 << 20, 2 * len(raw))
+        _POWERS[:] = [np.full(size, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for powers in _POWERS:
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_SIGNS[raw] * _POWERS[0][:len(raw)], out=sums[1:])
+    h = (sums[ends[1:]] - sums[ends[:-1]]) * _POWERS[1][np.minimum(ends[:-1], max(0, len(raw) - 1))]
+    return h ^ (h >> np.uint64(29))
+
+
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, each distinct chunk without ASCII white space encoded once."""
+    """Ids of texts by the tokenizers library, each distinct chunk encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core already
@@ -71,65 +156,103 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        suffix = self.library.model.end_of_word_suffix
+        spelled = self.library.get_vocab()
+        self.word_end = np.zeros(max(spelled.values()) + 1, bool)
+        self.word_end[[i for t, i in spelled.items() if t.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.words = pa.array([], pa.large_binary())
+        self.hashes, self.by_hash = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.sizes, self.used = [], [], 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 4096):
-            some = chunks[k:k + 4096]
-            for chunk, found in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                got = found.ids
-                while self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-                self.ids[self.used:self.used + len(got)] = got
-                self.place[chunk] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(got))
-                self.used += len(got)
+        self.starts, self.sizes = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.used = 0
+
+    def _sizes(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, how many each has)."""
+        joined = b" ".join(chunks).decode()
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        stops = np.flatnonzero(self.word_end[ids]) + 1
+        if len(stops) == len(chunks):
+            return ids, np.diff(stops, prepend=0)
+        words = [c.decode() for c in chunks]  # some are several words to the tokenizer
+        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
+    def _learn(self, new: pa.Array) -> None:
+        """Adds distinct chunks: encodes them, those that are one word each apart from the others."""
+        chunks, base = new.to_pylist(), len(self.words)
+        if base + len(chunks) > len(self.sizes):
+            room = np.zeros(max(len(self.sizes), len(chunks)), np.int32)
+            self.starts, self.sizes = np.concatenate([self.starts, room]), np.concatenate([self.sizes, room])
+        raw, ends = raw_bytes(new)  # no chunk is empty
+        single = np.logical_and.reduceat(_ONE_WORD[raw], ends[:-1])
+        for kind in (single, ~single):
+            for some in _parts(np.flatnonzero(kind)):
+                ids, sizes = self._sizes([chunks[k] for k in some])
+                if self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+                self.ids[self.used:self.used + len(ids)] = ids
+                self.sizes[base + some] = sizes
+                self.starts[base + some] = self.used + np.cumsum(sizes) - sizes
+                self.used += len(ids)
+        self.words = pa.concat_arrays([self.words, new])
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each distinct chunk, learnt if need be."""
+        if len(self.words) + len(distinct) > REMEMBER or self.words.nbytes > SHORT * REMEMBER:
+            self._forget()
+        hashes = span_hashes(distinct)
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(at, max(0, len(self.hashes) - 1))
+        number = np.full(len(distinct), -1, np.int64)
+        alike = np.flatnonzero(self.hashes[near] == hashes) if len(self.hashes) else near[:0]
+        found = self.by_hash[near[alike]]
+        same = pc.equal(self.words.take(pa.array(found)), distinct.take(pa.array(alike))).to_numpy(zero_copy_only=False)
+        number[alike[same]] = found[same]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.words) + np.arange(len(new))
+            self._learn(distinct.take(pa.array(new)))
+            order = new[np.argsort(hashes[new], kind="stable")]
+            self.hashes = np.insert(self.hashes, at[order], hashes[order])
+            self.by_hash = np.insert(self.by_hash, at[order], number[order])
+        return number
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text begins and the last one ends)."""
-        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        bounds = np.asarray(parts.offsets, np.int64)
-        bounds = bounds - bounds[0]
-        words = parts.flatten().dictionary_encode()
-        kinds = words.dictionary.to_pylist()
-        new = [w for w in kinds if w not in self.place]
-        if len(self.place) + len(new) > REMEMBER:
-            self._forget()
-            new = kinds
-        self._learn(new)
-        where = np.array([self.place[w] for w in kinds], np.int64)
-        chunk = where[words.indices.to_numpy(zero_copy_only=False)]
-        starts, sizes = np.array(self.starts, np.int64)[chunk], np.array(self.sizes, np.int64)[chunk]
-        known = self.ids[:self.used]
+        chunks, per_text = chunk_spans(texts_of(texts))
+        codes, distinct = coded(chunks)
+        chunk = self._places(distinct)[codes]
+        starts, sizes, known = self.starts[chunk], self.sizes[chunk], self.ids[:self.used]
+        bounds = np.concatenate([[0], np.cumsum(per_text)])
         if end_id is not None:  # one more chunk of one id at each text's end
             known = np.append(known, np.int32(end_id))
             starts = np.insert(starts, bounds[1:], self.used)
             sizes = np.insert(sizes, bounds[1:], 1)
             bounds = bounds + np.arange(len(bounds))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = known[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
-        self._drop([w for w in new if len(w) > SHORT])
-        return ids, ends[bounds]
-
-    def _drop(self, chunks: list[str]) -> None:
-        """Long chunks aren't remembered: they hardly repeat."""
-        for w in chunks:
-            del self.place[w]
-        if self.used > 8 * REMEMBER:
-            self._forget()
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        where = np.repeat(starts - ends[:-1], sizes)
+        where += np.arange(ends[-1])
+        return known[where], ends[bounds]
+
+
+_LOADED: dict[str, ChunkEncoder] = {}
+
+
+def load(path: str) -> ChunkEncoder:
+    """The encoder of a tokenizer's file, one per Python worker."""
+    if path not in _LOADED:
+        _LOADED[path] = ChunkEncoder(path)
+    return _LOADED[path]
 
 
 def _encode(path: str, end_id: int, with_meta: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = ChunkEncoder(path), 0
+        encoder, at = load(path), 0
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", BLOCK):
                 ids, ends = encoder.encode(b.column("text"), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 columns = {"doc_id": b.column("doc_id"), "at": pa.array(at + ends[:-1]),
@@ -162,7 +285,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
               .option("parquet.dictionary.page.size", 1 << 20))
     for column in ("doc_id", "at", "n_tokens"):  # without a dictionary, version 2 writes deltas
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
-    writer.parquet(f"{path}/tokens")
+    with arrow_rows(docs.sparkSession, ROWS):
+        writer.parquet(f"{path}/tokens")
     counts = docs.sparkSession.read.parquet(f"{path}/tokens").groupBy("part").agg(
         F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -218,5 +342,5 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
     ship_package(rows.sparkSession)
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return materialise(rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
+        _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long"), ROWS)

@@ -95,6 +95,24 @@ def test_window_and_spans(spark):
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+TRICKY = ["word,word;x.y:z! ?", "don't I'LL we've 'S '", 'say ",no", (yes). [1,2;3] 12.5%', "épée, Été. œuvre! ñ?Ñ;ß,ẞ",
+          "a×b,÷c", "e\u0301, cafe\u0301.", "<|endoftext|>,<|STARTOFTEXT|>. A,B", "<|x|> Y,Z", "İstanbul,ΣΑΣ. ǅ;", "x\u00a0,y\u2003.z",
+          "，。全角、", "\u037e;\u0387", "= \u0338, <\u0338.", "a\u200d,b\ufe0f.c", "１２,Ⅳ.½;²", "\x1c,\x85.\x00;", "ſ,K.Å;"]
+
+
+def test_cuts_never_change_the_ids(library):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    parts = [c for t in TRICKY for c in t] + [" ", ",", ".", "a", "S", "'", "é"] * 5
+    texts = TRICKY + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    ids, ends = token_files.ChunkEncoder(PATH).encode(pa.array(texts), None)
+    for k, text in enumerate(texts):
+        assert ids[ends[k]:ends[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_worker_forgets_and_relearns(library, monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBER", 5)
     import pyarrow as pa
