@@ -64,6 +64,10 @@ def test_empty_table(docs):  # noqa: F811
     assert got(docs([])) == set()
 
 
+def test_small_blocks_and_steps(docs):  # noqa: F811
+    assert {tuple(r) for r in divergence.divergence_audit(docs(ROWS), block=200, pairs=5).collect()} == brute(ROWS)
+
+
 def test_small_maps_only_let_more_through(docs, monkeypatch):  # noqa: F811
     monkeypatch.setattr(divergence, "MAP_BITS", 1 << 15)
     words = [(k, " ".join(f"word{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}longer" for j in range(k, k + 60)), "en", f"s{k % 4}")
@@ -72,7 +76,8 @@ def test_small_maps_only_let_more_through(docs, monkeypatch):  # noqa: F811
 
 
 def test_only_kept_prefixes_are_extended(spark, docs):  # noqa: F811
-    rows = docs([(k, f"abcdefgh{'xyz'[k % 3] * 9} zzzz{k}", "en", "s") for k in range(6)]).select("text", "lang", "source")
-    assert {bytes(r["item"]) for r in divergence.kept_terms(rows, 2).collect()} == {
+    bags = divergence.term_bags(docs([(k, f"abcdefgh{'xyz'[k % 3] * 9} zzzz{k}", "en", "s") for k in range(6)]))
+    groups = spark.sparkContext.broadcast(divergence.Groups(bags))
+    assert {bytes(r["item"]) for r in divergence.kept_terms(bags, groups, 2).collect()} == {
         *(f"abcdefgh{c * 9}".encode() for c in "xyz"), b"zzzz"}
-    assert {bytes(r["item"]) for r in divergence.kept_terms(rows, 3).collect()} == {b"zzzz"}
+    assert {bytes(r["item"]) for r in divergence.kept_terms(bags, groups, 3).collect()} == {b"zzzz"}
