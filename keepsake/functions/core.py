@@ -69,15 +69,24 @@ def safe_url(url) -> Column:
     return F.when(low.startswith("http://") | low.startswith("https://"), url).otherwise(F.lit("#"))
 
 
+# An IPv6 address: eight groups, or fewer around one "::", the last two possibly as a dotted quad.
+_GROUP, _QUAD = "[0-9a-f]{1,4}", r"(?:\d{1,3}\.){3}\d{1,3}"
+IPV6 = (rf"^(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{6}}{_QUAD}"
+        rf"|(?!.*::.*::)(?!(?:{_GROUP}:+){{7}}{_GROUP})(?:{_GROUP}:)*(?:{_GROUP})?::(?:{_GROUP}:)*(?:{_GROUP}|{_QUAD})?)$")
+
+
 def link_hosts(links) -> Column:
     """Lower-cased hosts of a link array: userinfo/port dropped, one ``www.``
-    removed, links without a network location skipped."""
-    host_re = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?([^/?#:\[]*)"
-    hosts = F.transform(F.coalesce(_c(links), F.array().cast("array<string>")),
-                        lambda u: F.regexp_replace(
-                            F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), host_re, 1)),
-                            r"^www\.", ""))
-    return F.filter(hosts, lambda h: h != "")
+    removed, links without a network location skipped; of a bracketed IPv6
+    address what stands between the brackets, if it is one."""
+    place = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?"
+
+    def host(u: Column) -> Column:
+        u = F.coalesce(u, F.lit(""))
+        bracketed = F.lower(F.regexp_extract(u, place + r"\[([^\[\]/?#]*)\](?::[^/?#]*)?(?:[/?#]|$)", 1))
+        named = F.regexp_replace(F.lower(F.regexp_extract(u, place + r"([^/?#:\[]*)", 1)), r"^www\.", "")
+        return F.when(bracketed.rlike(IPV6), bracketed).otherwise(named)
+    return F.filter(F.transform(F.coalesce(_c(links), F.array().cast("array<string>")), host), lambda h: h != "")
 
 
 # -- text assembly ----------------------------------------------------------
@@ -95,6 +104,11 @@ def keyword_haystack(text="text", hashtags="hashtags", links="links", handle="au
                        F.lower(F.coalesce(_c(handle), F.lit(""))))
 
 
+def text_grams(text: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
+
+
 def search_haystack() -> Column:
     """text, summary, topic, handle, name, tags joined by one space, lower-cased."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.core import keyword_haystack, link_hosts
 from keepsake.functions.rulesets import DEFAULT_CATEGORIES, NO_CATEGORY, SAMPLE_CATEGORIES, rule_rows
+from keepsake.operators import rule_index as RI
 from keepsake.operators import rules as R
 from keepsake.plans.registry import register
 from keepsake.plans.tables import posts, table, with_posts
@@ -17,12 +18,8 @@ _WORD = r"[^\p{L}\p{N}_]"
 
 def duck_regex(pattern: str) -> str:
     r"""RE2 has an ASCII-only ``\b``; spell word boundaries at the ends out."""
-    p = R.whole_word(pattern)
-    if p.startswith(r"\b"):
-        p = f"(^|{_WORD})" + p[2:]
-    if p.endswith(r"\b"):
-        p = p[:-2] + f"({_WORD}|$)"
-    return "(?i)" + p
+    left, core, right = R.search_edges(pattern)
+    return "(?i)" + (f"(^|{_WORD})" if left else "") + core + (f"({_WORD}|$)" if right else "")
 
 
 def _q(s: str) -> str:
@@ -157,3 +154,60 @@ def rule_enrich_pages_q(spark, sf_dir):
         F.lit("").alias("author_handle"))
     e = R.rule_enrich(pg, SAMPLE_CATEGORIES)
     return e.select("id", F.col("_res.topic").alias("topic"), F.array_join("_res.tags", "|").alias("tags"))
+
+
+# -- a rule table taken from the data: words as whole-word rules, benchmark words as plain ones, hosts as domains ----
+
+_BIG_RULES = r"""rules AS (
+    SELECT DISTINCT 'w' || substr(w, 1, 1) AS category, unicode(w) AS ord, 'word' AS kind, w
+    FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS w FROM documents)
+    UNION ALL SELECT DISTINCT 's' || substr(w, 1, 1), 1000000 + unicode(w), 'part', w
+    FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{6,}')) AS w FROM benchmark)
+    UNION ALL SELECT DISTINCT 'd' || h, 2000000, 'dom', h
+    FROM (SELECT array_to_string(string_split(h, '.')[-2:], '.') AS h FROM (SELECT unnest(hosts) AS h FROM hay)))"""
+_BIG_HITS = r"""hits AS (
+    SELECT h.id, r.category, r.ord, 1 AS kw, 0 AS dom
+    FROM (SELECT id, unnest(list_distinct(regexp_split_to_array(hay, '[^\p{L}\p{N}_]+'))) AS w FROM hay) h
+    JOIN rules r ON r.kind = 'word' AND r.w = h.w
+    UNION ALL SELECT h.id, r.category, r.ord, 1, 0 FROM hay h JOIN rules r ON r.kind = 'part' AND contains(h.hay, r.w)
+    UNION ALL SELECT DISTINCT h.id, r.category, r.ord, 0, 2 FROM (SELECT id, unnest(hosts) AS host FROM hay) h
+    JOIN rules r ON r.kind = 'dom' AND (h.host = r.w OR ends_with(h.host, '.' || r.w)))"""
+_BIG_POINTS = """points AS (SELECT id, category, ord, sum(kw)::BIGINT AS kw_points, sum(dom)::BIGINT AS dom_points,
+    sum(kw + dom)::BIGINT AS score FROM hits GROUP BY id, category, ord)"""
+
+
+def data_rules(spark, sf_dir):
+    """A large rule table: every word of 4 letters of the documents, every one of 6 of the benchmark, every site."""
+    def words(name, least):
+        found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % least), F.lit(0))
+        return table(spark, sf_dir, name).select(F.explode(found).alias("w")).distinct()
+
+    def rows(df, mark, start, kind, pattern):
+        return df.select(F.concat(F.lit(mark), F.substring("w", 1, 1)).alias("category"), (F.ascii("w") + start).alias("ord"),
+                         F.lit(kind).alias("kind"), F.lit(0).alias("seq"), pattern.alias("pattern"))
+    w = F.col("w")
+    hosts = posts(spark, sf_dir).select(F.explode(link_hosts("links")).alias("h")).select(
+        F.substring_index("h", ".", -2).alias("w")).distinct()
+    sites = hosts.select(F.concat(F.lit("d"), w).alias("category"), F.lit(2000000).alias("ord"), F.lit("dom").alias("kind"),
+                         F.lit(0).alias("seq"), w.alias("pattern"))
+    return (rows(words("documents", 4), "w", 0, "kw", F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
+            .unionByName(rows(words("benchmark", 6), "s", 1000000, "kw", w)).unionByName(sites))
+
+
+@register("indexed_rule_scores", with_posts("SELECT id, category, ord, kw_points, dom_points, score FROM points",
+                                             f"hay AS (SELECT id, {SQL_HAY} AS hay, {SQL_HOSTS} AS hosts FROM posts)",
+                                             _BIG_RULES, _BIG_HITS, _BIG_POINTS))
+def indexed_rule_scores_q(spark, sf_dir):
+    """Tens of thousands of rules over all posts, through the q-gram index."""
+    p = RI.category_points(posts(spark, sf_dir), data_rules(spark, sf_dir))
+    return p.select("id", "category", "ord", *[F.col(c).cast("bigint").alias(c) for c in ("kw_points", "dom_points", "score")])
+
+
+@register("indexed_category_rank", with_posts(
+    "SELECT id, category, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS rank FROM points",
+    rules_cte(SAMPLE_CATEGORIES), *points_ctes()))
+def indexed_category_rank_q(spark, sf_dir):
+    """The ranking of ``category_rank``, through the index."""
+    c = RI.categorize(posts(spark, sf_dir), R.rules_frame(spark, SAMPLE_CATEGORIES))
+    return c.select("id", F.posexplode("categories").alias("pos", "category")).select(
+        "id", "category", (F.col("pos") + 1).cast("bigint").alias("rank"))

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: str | None = None
 
@@ -74,6 +74,16 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     return root.rstrip("/") + "/keepsake-scratch/" + sub
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the shared scratch folder and read back.
+
+    Later steps reread the files, so a lost executor never recomputes (or renumbers) what was written.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

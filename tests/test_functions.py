@@ -102,3 +102,29 @@ def test_dates_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert before == ["2024-03-10T02:30:00+00:00", "2024-03-10T02:30:00-05:00", "2024-03-10T02:30:00"]
+
+
+def test_bracketed_hosts(spark):
+    from urllib.parse import urlsplit
+
+    urls = ["http://[2001:db8::1]:80/x", "https://u:p@[::1]", "http://[::ffff:1.2.3.4]/", "http://[1:2:3:4:5:6:7:8]?q", "http://[12]/",
+            "http://[1:2]/", "http://[::1", "http://[1::2::3]/", "http://[::1]x/", "http://[1:2:3:4:5:6:7::8:9]/", "//[FE80::A]/",
+            "http://www.a.b/[x]", "http://a.b/?q=[::1]", "http://[1:2:3:4:5:6:1.2.3.4]/", "http://[g::1]/"]
+    rows = spark.createDataFrame([(k, [u]) for k, u in enumerate(urls)], "k int, links array<string>")
+    got = {r.k: r.h for r in rows.select("k", C.link_hosts("links").alias("h")).collect()}
+    for k, u in enumerate(urls):
+        try:
+            host = urlsplit(u).hostname or ""
+        except ValueError:
+            host = ""
+        assert got[k] == ([host.removeprefix("www.")] if host else []), u
+
+
+def test_query_column_splits_at_unicode_blanks(spark):
+    from keepsake.operators import search
+
+    qs = ["\u00a0big\u2003cat ", "big\u3000dog", "\u2028", "cat\tbig"]
+    rows = spark.createDataFrame([(q,) for q in qs], "q string")
+    got = [r[0] for r in rows.select(search.match_text_column(F.col("q"), F.lit("a big black cat"))).collect()]
+    want = [all(w in "a big black cat" for w in search.query_tokens(q)) for q in qs]
+    assert got == want == [True, False, True, True]
