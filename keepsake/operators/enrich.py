@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,19 +166,33 @@ def retry(fn: Callable, retries: int = 3, sleep: Callable[[float], None] = time.
     return persistent
 
 
-def _error_text(problem: BaseException) -> str:
-    """What a failed row says: the exception's message, or its type where it has none."""
-    message = f"{problem}"
-    return message if message else type(problem).__name__
+class Failure(NamedTuple):
+    """What is kept of an exception that a user function raised for one row."""
 
+    kind: str
+    message: str
 
-def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None]) -> DataFrame:
+    @classmethod
+    def of(cls, problem: BaseException) -> Failure:
+        return cls(type(problem).__name__, " ".join(str(problem).split()))
+
+    def note(self) -> str:
+        """The row's error: one line, the kind of failure where it says nothing."""
+        return self.message or self.kind
+
+
+def backfill_with_fetcher(df: DataFrame, fetcher: Callable, *, setup: Callable[[], object] | None = None,
+                          attempts: int = 3, at_once: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Backfill through a user function ``id -> content dict | None | raise``.
 
-    Runs in ``mapInPandas``: only rows that need text call the function; a
-    ``None`` gives ``tweet not found``, an exception its message.  The answers
-    are written once to the shared folder, because both the enricher and the
-    result read them and a second call could answer differently.
+    With ``setup`` the function also gets what that returns, a client made once per
+    task.  Each task calls it for up to ``at_once`` ids at a time, in threads; an id
+    whose call raises is tried ``attempts`` times in all.  ``None`` gives ``tweet not
+    found`` and is final.  Results keep the order of the ids, whatever call ends first.
+
+    Only rows that need text are fetched.  The answers are written once to the shared
+    folder, because both the enricher and the result read them and a second call could
+    answer differently.
     """
     import pandas as pd
 
@@ -184,29 +200,33 @@ def backfill_with_fetcher(df: DataFrame, fetcher: Callable[[str], dict | None])
                           [T.StructField("_f_" + n, CONTENT_SCHEMA[n].dataType) for n in
                            ("text", "author_handle", "author_name", "created_at", "media")] +
                           [T.StructField("_f_found", T.BooleanType()), T.StructField("_f_error", T.StringType())])
+    empty = {f.name: None for f in schema.fields}
+
+    def answer(call: Callable, id_: str) -> dict:
+        rec = empty | {"id": id_, "_f_found": False}
+        try:
+            content = call(id_)
+        except Exception as exc:  # isolate the failure to this row
+            return rec | {"_f_error": Failure.of(exc.__cause__ or exc).note()}
+        if content is None:
+            return rec | {"_f_error": NOT_FOUND}
+        media = [{"thumb": m.get("thumb"), "type": m.get("type"), "url": m.get("url")} for m in (content.get("media") or [])]
+        return rec | {"_f_text": content.get("text", None), "_f_author_handle": content.get("author_handle", ""),
+                      "_f_author_name": content.get("author_name", ""), "_f_created_at": content.get("created_at", ""),
+                      "_f_media": media, "_f_found": True}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for id_ in pdf["id"]:
-                rec = {f.name: None for f in schema.fields}
-                rec.update({"id": id_, "_f_found": False})
-                try:
-                    content = fetcher(id_)
-                    if content is None:
-                        rec["_f_error"] = NOT_FOUND
-                    else:
-                        rec.update({"_f_text": content.get("text", None),
-                                    "_f_author_handle": content.get("author_handle", ""),
-                                    "_f_author_name": content.get("author_name", ""),
-                                    "_f_created_at": content.get("created_at", ""),
-                                    "_f_media": [{"thumb": m.get("thumb"), "type": m.get("type"), "url": m.get("url")}
-                                                 for m in (content.get("media") or [])],
-                                    "_f_found": True})
-                except Exception as exc:  # isolate the failure to this row
-                    rec["_f_error"] = _error_text(exc)
-                rows.append(rec)
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+        call = fetcher
+        if setup is not None:
+            client = setup()
+
+            def call(id_):
+                return fetcher(id_, client)
+        steady = retry(call, attempts, sleep)
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                rows = list(pool.map(lambda id_: answer(steady, id_), pdf["id"]))
+                yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     from keepsake.session import scratch_dir, ship_package
     ship_package(df.sparkSession)
@@ -297,7 +317,7 @@ def udf_enricher(fn: Callable[[dict], dict], setup: Callable[[], object] | None
                                 "tags": [str(t) for t in tags] if isinstance(tags, list) else [],
                                 "error": None})
                 except Exception as exc:
-                    res.append({"summary": None, "topic": None, "tags": None, "error": _error_text(exc)})
+                    res.append({"summary": None, "topic": None, "tags": None, "error": Failure.of(exc).note()})
                 ids.append(rec["id"])
             yield pd.DataFrame({"_u_id": ids, "_u_res": res})
 

@@ -8,6 +8,8 @@ from keepsake.operators import merge, order
 from keepsake.operators.enrich import pending, select_targets
 from keepsake.plans.registry import register
 from keepsake.plans.tables import changes, incoming, posts, table, with_posts
+from keepsake.session import scratch_dir
+from keepsake.sources.snapshot import SnapshotStore
 
 LIMIT_TARGETS = 25
 
@@ -46,6 +48,17 @@ def upsert_by_key_q(spark, sf_dir):
     return out.select("id", "summary", "text")
 
 
+@register("merge_on_read", with_posts("""
+SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'updated ' || id ELSE summary END AS summary, text FROM posts"""))
+def merge_on_read_q(spark, sf_dir):
+    """The same changes written as an update segment of a store and merged by the reader."""
+    store = SnapshotStore(spark, scratch_dir(spark) + "/store")
+    base = posts(spark, sf_dir)
+    store.commit(base)
+    store.update(merge.dedupe_last(changes(spark, sf_dir), "id", ["seq"]).select(*base.columns))
+    return store.read().select("id", "summary", "text")
+
+
 _FIRST_SQL = """
 SELECT user_id, event_id, event_type, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id {dir}) AS rn FROM events) WHERE rn = 1"""

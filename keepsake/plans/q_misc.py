@@ -96,6 +96,22 @@ def files_mapping_q(spark, sf_dir):
     return X.load_mapping(spark, folders).select("id", "summary", "topic", F.array_join("tags", "|").alias("tags"))
 
 
+@register("large_mapping", """
+SELECT CAST(doc_id AS VARCHAR) AS id,
+       CASE WHEN doc_id % 6 = 0 THEN 'override ' || CAST(doc_id AS VARCHAR) ELSE text END AS summary,
+       CASE WHEN doc_id % 6 = 0 THEN ' Topic ' ELSE lang END AS topic,
+       CASE WHEN doc_id % 6 = 0 THEN '' ELSE upper(lang) || '| |' || source END AS tags
+FROM documents WHERE doc_id % 2 = 0""")
+def large_mapping_q(spark, sf_dir):
+    """The same files, each read by several tasks."""
+    from keepsake.plans.q_sources import written_documents
+
+    docs = mapping_documents(spark, sf_dir)
+    folders = [written_documents(spark, docs.where(F.col("file_ord") == i)) for i in (0, 1)]
+    found = X.load_mapping(spark, folders, large=1)
+    return found.select("id", "summary", "topic", F.array_join("tags", "|").alias("tags"))
+
+
 # -- streaming -----------------------------------------------------------------------------
 
 _STREAM_SQL = """
@@ -132,6 +148,15 @@ def stream_dedupe_q(spark, sf_dir):
     return spark.read.parquet(base + "/out").select("id")
 
 
+@register("stream_dedupe_within", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents")
+def stream_dedupe_within_q(spark, sf_dir):
+    """The same with state that a watermark bounds."""
+    base = scratch_dir(spark)
+    _write_payload_log(spark, sf_dir, base + "/in")
+    C.start_stream_dedupe(spark, base + "/in", base + "/out", base + "/ckpt", within="1 day").awaitTermination()
+    return spark.read.parquet(base + "/out").select("id")
+
+
 # -- the build job ------------------------------------------------------------------------
 
 

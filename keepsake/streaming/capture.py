@@ -7,8 +7,8 @@ the store itself (no unbounded state store), and a replayed batch adds
 nothing because its ids are already stored — the sink is idempotent, so the
 checkpoint + replay give exactly-once results.
 
-``stream_dedupe`` is the state-store alternative: ``dropDuplicates(["id"])``
-keeps every id once across batches (state grows with the number of ids).
+``start_stream_dedupe`` is the state-store alternative: every id once across batches,
+with state that grows with the number of ids or, on request, is bounded by a watermark.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def payload_stream(spark: SparkSession, source_dir: str, max_files: int | None =
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(source_dir).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_modification_time").alias("captured"), "value")
 
 
 def _store_ids(spark: SparkSession, store_path: str) -> DataFrame | None:
@@ -78,11 +79,24 @@ def start_capture_ingest(spark: SparkSession, source_dir: str, store_path: str,
     return q.start()
 
 
-def start_stream_dedupe(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str):
-    """Distinct captured ids across the whole stream via the state store."""
-    lines = payload_stream(spark, source_dir)
+def start_stream_dedupe(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
+                        within: str | None = None, max_files: int | None = MAX_FILES):
+    """Distinct captured ids across the stream via the state store.
+
+    Without ``within`` an id is given once, however late it comes again, and the state
+    grows with the number of ids.  With it (an interval such as ``"2 hours"``) an id
+    is remembered for that long after the time at which it was captured (that of its
+    log file): copies that arrive within it are dropped, the state holds no older ids,
+    and a copy that is later than the watermark is dropped unseen.
+    """
+    lines = payload_stream(spark, source_dir, max_files)
     results = extract_results(lines)
-    ids = normalize_results(results.select("result"), "result").select("id").where(
+    captured = F.col("captured")
+    ids = normalize_results(results.select(captured, "result"), "result").select("id", captured).where(
         F.col("id").isNotNull() & (F.col("id") != ""))
-    return (ids.dropDuplicates(["id"]).writeStream.format("parquet").option("path", out_path)
+    if within is None:
+        distinct = ids.select("id").dropDuplicates(["id"])
+    else:
+        distinct = ids.withWatermark("captured", within).dropDuplicatesWithinWatermark(["id"]).select("id")
+    return (distinct.writeStream.format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -72,6 +72,42 @@ def test_backfill_with_fetcher_function(spark):
     assert res["3"].enrich_error == "network down"
 
 
+def test_fetching_retries_with_one_client_per_task(spark, scratch):
+    """Each id is asked at most three times; results keep their ids whatever call ends first."""
+    import os
+    import time
+
+    folder = scratch[len("file:"):] if scratch.startswith("file:") else scratch
+    os.makedirs(folder)
+
+    def client():
+        with open(f"{folder}/clients", "a") as f:
+            f.write("x")
+        return {"calls": 0}
+
+    def flaky(id_, shared):
+        with open(f"{folder}/calls-{id_}", "a") as f:
+            f.write("x")
+        time.sleep(0.002 * (int(id_) % 5))
+        asked = os.path.getsize(f"{folder}/calls-{id_}")
+        if int(id_) % 4 == 0 and asked < 3 or int(id_) % 7 == 0:
+            raise ConnectionError(f"try {asked}")
+        return None if int(id_) % 11 == 0 else {"text": f"text {id_}"}
+
+    p = posts_df(spark, [post(k, text="") for k in range(1, 40)]).coalesce(2)
+    marked = E.mark_targets(p).where("_target").withColumn("_fetch_error", F.lit(None).cast("string"))
+    got = {r.id: r for r in E.backfill_with_fetcher(marked, flaky, setup=client, sleep=lambda s: None).collect()}
+    for k in range(1, 40):
+        calls = os.path.getsize(f"{folder}/calls-{k}")
+        if k % 7 == 0:
+            assert calls == 3 and got[str(k)]._fetch_error == "try 3"
+        else:
+            assert calls == (3 if k % 4 == 0 else 1)
+            assert got[str(k)]._fetch_error == ("tweet not found" if k % 11 == 0 else None)
+            assert got[str(k)].text == ("" if k % 11 == 0 else f"text {k}")
+    assert os.path.getsize(f"{folder}/clients") <= 2
+
+
 def test_limit_and_negative_limit(spark):
     p = posts_df(spark, [post(i, text="x") for i in (3, 1, 2)])
     res = E.enrich_pending(p, E.udf_enricher(ok_enricher), now=NOW, limit=2)
