@@ -173,3 +173,14 @@ def export_capture(captures: DataFrame, order: Sequence[str]) -> DataFrame:
     """Captures sorted for export: created_at descending (NULL as ''), ties in
     first-seen ``order``."""
     return captures.orderBy(F.coalesce(F.col("created_at"), F.lit("")).desc(), *[F.col(c) for c in order])
+
+
+def write_capture(captures: DataFrame, order: Sequence[str], path: str) -> None:
+    """Write captures as JSON lines in export order: files ascend in it, and so do the lines of each.
+
+    The rich-capture reader takes such a folder's lines as items.
+    """
+    newest = F.coalesce(F.col("created_at"), F.lit("")).desc()
+    ranged = captures.repartitionByRange(newest, *[F.col(c) for c in order])
+    (ranged.sortWithinPartitions(newest, *[F.col(c) for c in order]).drop(*order)
+     .select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path))

@@ -12,7 +12,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.functions.core import search_haystack
+from keepsake.functions.core import search_haystack, strip_ws
+
+BLANKS = r"(?U)\s+"
 
 
 def query_tokens(q: str | None) -> list[str]:
@@ -45,8 +47,8 @@ def match_text(q: str | None, hay: Column | None = None) -> Column:
 def match_text_column(q: Column, hay: Column | None = None) -> Column:
     """The same with the query taken from a column (one query per row)."""
     hay = search_haystack() if hay is None else hay
-    norm = F.lower(F.trim(F.coalesce(q, F.lit(""))))
-    tokens = F.split(norm, r"\s+")
+    norm = F.lower(strip_ws(F.coalesce(q, F.lit(""))))
+    tokens = F.split(norm, BLANKS)
     return (norm == "") | F.forall(tokens, lambda w: hay.contains(w))
 
 

@@ -8,7 +8,7 @@ from keepsake.operators import order
 from keepsake.operators.normalize import capture_to_posts, normalize_payloads, normalize_results
 from keepsake.plans import documents as D
 from keepsake.plans.registry import register
-from keepsake.sources.payloads import extract_results
+from keepsake.sources.payloads import expand_results, extract_results
 
 ORDER = ["file_ord", "pos"]
 _TS = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id)"
@@ -52,6 +52,19 @@ def extract_payload_results_q(spark, sf_dir):
     return r.select("file_ord", "pos", "id")
 
 
+@register("expand_payload_results", """
+SELECT doc_id // 20 AS file_ord,
+       CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS INTEGER) AS pos,
+       CAST(doc_id AS VARCHAR) AS id
+FROM documents
+UNION ALL
+SELECT doc_id // 20, CAST(count(*) AS INTEGER), CAST(min(doc_id) AS VARCHAR) FROM documents GROUP BY doc_id // 20""")
+def expand_payload_results_q(spark, sf_dir):
+    """The same by native expressions, level by level."""
+    found = expand_results(D.payloads(spark, sf_dir)).select("file_ord", "pos", "result")
+    return normalize_results(found).select("file_ord", "pos", "id")
+
+
 @register("normalize_posts", _NORMALIZED_SQL)
 def normalize_posts_q(spark, sf_dir):
     """Raw results -> capture records: wrapper unwrapped, note text, author

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.core import format_metric, html_escape, metric, metrics_line, search_haystack
 from keepsake.operators import search as S
+from keepsake.operators import search_index as SI
 from keepsake.plans.registry import register
 from keepsake.plans.tables import posts, table, with_posts
+from keepsake.session import scratch_dir
 
 QUERY = "  THE  And "
 TAG = "en"
@@ -51,6 +53,22 @@ def search_all_tokens_q(spark, sf_dir):
     return S.search(posts(spark, sf_dir), q=QUERY).select("id")
 
 
+@register("indexed_search", with_posts(f"""
+SELECT id, 'words' AS q FROM posts WHERE contains({SQL_HAY}, 'the') AND contains({SQL_HAY}, 'and')
+UNION ALL SELECT id, 'long' FROM posts WHERE contains({SQL_HAY}, 'tion') AND contains({SQL_HAY}, 'ion') AND contains({SQL_HAY}, 'the')
+UNION ALL SELECT id, 'short' FROM posts WHERE contains({SQL_HAY}, 'x') AND contains({SQL_HAY}, 'en')
+UNION ALL SELECT id, 'none' FROM posts WHERE contains({SQL_HAY}, 'never') AND contains({SQL_HAY}, 'qzqzq')"""))
+def indexed_search_q(spark, sf_dir):
+    """Several queries through the trigram index."""
+    path = scratch_dir(spark) + "/index"
+    SI.write_index(posts(spark, sf_dir), path, buckets=8)
+    found = None
+    for name, q in (("words", QUERY), ("long", "tion ion\u00a0the"), ("short", "x EN"), ("none", "never qzqzq")):
+        one = SI.search(spark, path, q).select("id", F.lit(name).alias("q"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @register("search_counts", with_posts(f"""
 SELECT CAST(count_if(list_contains(tags, '{TAG}') AND contains({SQL_HAY}, 'the') AND contains({SQL_HAY}, 'and')) AS BIGINT) AS shown,
        count(*) AS total FROM posts"""))

@@ -277,3 +277,21 @@ def files_rich_q(spark, sf_dir):
 def files_url_list_q(spark, sf_dir):
     got = X.read_captures(spark, written_documents(spark, D.url_list_documents(spark, sf_dir)))
     return got.select("id", "url", "source")
+
+
+# -- the same files, read by several tasks each ---------------------------------------------
+
+
+@register("large_json_export", _without_place(_EXPORT_SQL))
+def large_json_export_q(spark, sf_dir):
+    """Export files through the reader for documents larger than a task."""
+    got = X.read_captures(spark, written_documents(spark, D.export_documents(spark, sf_dir)), large=1)
+    return _flat_posts(got).drop("file_ord", "pos")
+
+
+@register("large_rich", _without_place(_RICH_SQL))
+def large_rich_q(spark, sf_dir):
+    p = X.read_captures(spark, written_documents(spark, D.rich_documents(spark, sf_dir)), large=1)
+    return _flat_posts(p, "lang", metric("metrics", "likes").alias("likes"), metric("metrics", "views").alias("views"),
+                       metric("metrics", "ratio").alias("ratio"), F.size("metrics").cast("bigint").alias("n_metrics"),
+                       F.array_join("hashtags", "|").alias("hashtags")).drop("file_ord", "pos")

@@ -9,14 +9,16 @@ format per file, pick the matching expression, explode.  Arrival order is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.core import coerce_metrics, default_url, extract_id, strip_ws
 from keepsake.functions.variant import (as_array, first_truthy, is_array, is_object, kind, obj, str_list,
                                         str_or, text, truthy, vget)
 from keepsake.schema import conform_posts
+from keepsake.session import written
 from keepsake.sources.files import FILE_ORDER, whole_files
+from keepsake.sources.large_json import LARGE, elements, file_list, large_files
 
 JSON_EXPORT = "json-export"
 EXTENSION = "extension"
@@ -124,7 +126,11 @@ def posts_from_documents(files: DataFrame, fmt: str | None = None) -> DataFrame:
     Items are exploded first and every field is then a top-level column, so
     shared sub-expressions are computed once per item.
     """
-    it = document_items(files, fmt)
+    return posts_from_items(document_items(files, fmt))
+
+
+def posts_from_items(it: DataFrame) -> DataFrame:
+    """Posts of (file_ord, path, format, pos, item) rows."""
     fmt_c = F.col("format")
     is_url = fmt_c == URL_LIST
     is_rich = fmt_c == EXTENSION
@@ -158,9 +164,79 @@ def posts_from_documents(files: DataFrame, fmt: str | None = None) -> DataFrame:
     return conform_posts(out, keep=[*FILE_ORDER, "pos", "format"])
 
 
-def read_captures(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
-    """Read capture files of any supported format (autodetected per file)."""
-    return posts_from_documents(whole_files(spark, paths), fmt)
+def read_captures(spark: SparkSession, paths, fmt: str | None = None, large: int = LARGE) -> DataFrame:
+    """Read capture files of any supported format (autodetected per file).
+
+    Files of at least ``large`` bytes are read by several tasks each, with the same result.
+    """
+    small = posts_from_documents(whole_files(spark, paths, below=large), fmt)
+    files = large_files(spark, paths, large)
+    return small.unionByName(posts_from_items(large_document_items(spark, paths, files, fmt))) if files else small
+
+
+# -- documents larger than a task ---------------------------------------------------------
+
+
+def _numbered(spark: SparkSession, paths, rows: DataFrame) -> DataFrame:
+    """``rows`` with the ``file_ord`` of their path."""
+    return rows.join(file_list(spark, paths).select("file_ord", "path"), "path")
+
+
+def large_document_items(spark: SparkSession, paths, files: list[str], fmt: str | None = None) -> DataFrame:
+    """As :func:`document_items` for large files, of which no task holds more than a split."""
+    rows = written(elements(spark, files))
+    items = rows.where("pos is not null").withColumn("item", F.parse_json("text"))
+    item = F.col("item")
+    facts = items.groupBy("path", "member").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(kind(item) == "STRING").alias("strings"),
+        F.bool_or(F.coalesce(is_object(item) & (is_object(vget(item, "$.author")) | vget(item, "$.metrics").isNotNull()),
+                             F.lit(False))).alias("rich"))
+    heads = rows.where("pos is null and name in ('bookmarks', 'data')").join(facts, ["path", "member"], "left")
+    last = heads.groupBy("path", "name").agg(F.max_by(F.struct("member", "text", "n", "rich"), "member").alias("h"))
+    named = last.groupBy("path").agg(*[F.max(F.when(F.col("name") == n, F.col("h"))).alias(n) for n in ("bookmarks", "data")])
+    lists = items.where("name is null").select("path").distinct().join(facts, "path").where("member = 0").select(
+        "path", F.col("strings").alias("all_strings"), F.col("rich").alias("list_rich"), F.lit(True).alias("is_list"))
+    docs = rows.select("path").distinct().join(named, "path", "left").join(lists, "path", "left")
+    present = F.coalesce("bookmarks", "data")  # the key's presence decides
+    full = [F.when((F.col(f"{c}.n") > 0) | (F.col(f"{c}.text").isNotNull() & truthy(F.parse_json(F.col(f"{c}.text")))),
+                   F.col(c)) for c in ("bookmarks", "data")]
+    found = (F.lit(fmt) if fmt else F.when(F.coalesce("all_strings", F.lit(False)), F.lit(URL_LIST))
+             .when(F.coalesce("list_rich", F.col("present.rich"), F.lit(False)), F.lit(EXTENSION)).otherwise(F.lit(JSON_EXPORT)))
+    docs = docs.withColumns({"present": present, "full": F.coalesce(*full)}).withColumn("format", found)
+    no_list = (F.col("format") == JSON_EXPORT) & F.col("present").isNotNull() & F.col("present.text").isNotNull()
+    member = (F.when(no_list, F.raise_error(F.lit(UNSUPPORTED_EXPORT)).cast("bigint"))
+              .when(F.coalesce("is_list", F.lit(False)), F.lit(0).cast("bigint"))
+              .when(F.col("format") == EXTENSION, F.col("full.member"))
+              .when(F.col("format") == JSON_EXPORT, F.col("present.member")))
+    chosen = docs.select("path", "format", member.alias("member"))
+    texts = _large_url_lists(spark, files, fmt) if fmt in (None, URL_LIST) else None
+    found_items = chosen.join(items.select("path", "member", F.col("pos").cast("int").alias("pos"), "item"), ["path", "member"])
+    out = found_items.select("path", "format", "pos", "item")
+    out = out.unionByName(texts) if texts is not None else out
+    return _numbered(spark, paths, out).select(*FILE_ORDER, "format", "pos", "item")
+
+
+def _large_url_lists(spark: SparkSession, files: list[str], fmt: str | None) -> DataFrame:
+    """The URLs of large text files: those whose first line doesn't begin like a JSON document.
+
+    Positions number the URLs of a file; they come from a running count over its splits.
+    """
+    raw = spark.read.option("lineSep", "\n").text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    urls = raw.select("path", "block", "line", F.posexplode(F.split("value", LINE_BREAKS)).alias("part", "url")).select(
+        "path", "block", "line", "part", strip_ws(F.col("url")).alias("url")).where("url <> ''")
+    begin = urls.where("block = 0").groupBy("path").agg(F.min_by("url", F.struct("line", "part")).alias("begin"))
+    plain = begin.where(~F.col("begin").rlike(r"^\ufeff?[\[{]")).select("path")
+    kept = written(urls.join(F.broadcast(plain), "path"))  # one row per large file
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n")).select(
+        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("path", "block").orderBy("line", "part")  # one split
+    numbered = kept.withColumn("k", F.row_number().over(own)).join(F.broadcast(sizes), ["path", "block"])
+    return numbered.select("path", F.lit(URL_LIST).alias("format"), (F.col("base") + F.col("k") - 1).cast("int").alias("pos"),
+                           F.parse_json(F.to_json(F.struct("url"))).alias("item")).withColumn(
+        "item", vget(F.col("item"), "$.url"))
 
 
 # -- enrichment maps ----------------------------------------------------------------------------
@@ -168,6 +244,15 @@ def read_captures(spark: SparkSession, paths, fmt: str | None = None) -> DataFra
 MAP_ORDER = ("file_ord", "path", "pos")
 
 
+def _entry_columns(ex: DataFrame) -> DataFrame:
+    """Mapping rows of (file_ord, path, pos, id, e)."""
+    e = F.col("e")
+    tags_v = vget(e, "$.tags")
+    tags = F.when(is_array(tags_v), str_list(tags_v)).otherwise(F.array().cast("array<string>"))
+    return ex.select("file_ord", "path", "pos", "id", str_or(vget(e, "$.summary")).alias("summary"),
+                     str_or(vget(e, "$.topic")).alias("topic"), tags.alias("tags"))
+
+
 def mapping_entries(files: DataFrame) -> DataFrame:
     """(file_ord, path, pos, id, summary, topic, tags) of enrichment files:
     an object keyed by id (non-object values ignored) or a list of objects
@@ -180,18 +265,28 @@ def mapping_entries(files: DataFrame) -> DataFrame:
                             lambda e: F.struct(text(vget(e, "$.id")).alias("id"), e.alias("e")))
     entries = F.filter(F.when(is_object(doc), from_map).otherwise(from_list), lambda x: is_object(x["e"]))
     ex = files.select("file_ord", "path", F.posexplode(entries).alias("pos", "x"))
-    e = F.col("x.e")
-    tags_v = vget(e, "$.tags")
-    tags = F.when(is_array(tags_v), str_list(tags_v)).otherwise(F.array().cast("array<string>"))
-    return ex.select("file_ord", "path", "pos", F.col("x.id").alias("id"),
-                     str_or(vget(e, "$.summary")).alias("summary"),
-                     str_or(vget(e, "$.topic")).alias("topic"), tags.alias("tags"))
+    return _entry_columns(ex.select("file_ord", "path", "pos", F.col("x.id").alias("id"), F.col("x.e").alias("e")))
 
 
-def load_mapping(spark: SparkSession, paths) -> DataFrame:
+def large_mapping_entries(spark: SparkSession, paths, files: list[str]) -> DataFrame:
+    """As :func:`mapping_entries` for large files: members of an object, or elements of a list."""
+    rows = elements(spark, files)
+    listed = rows.where("name is null").withColumn("e", F.parse_json("text"))
+    e = F.col("e")
+    listed = listed.where(is_object(e) & truthy(vget(e, "$.id"))).select("path", "pos", text(vget(e, "$.id")).alias("id"), "e")
+    keyed = rows.where("name is not null and pos is null and text is not null").withColumn("e", F.parse_json("text"))
+    keyed = keyed.where(is_object(e)).select("path", F.col("member").alias("pos"), F.col("name").alias("id"), "e")
+    found = _numbered(spark, paths, listed.unionByName(keyed))
+    return _entry_columns(found).withColumn("pos", F.col("pos").cast("int"))
+
+
+def load_mapping(spark: SparkSession, paths, large: int = LARGE) -> DataFrame:
     """(id, summary, topic, tags), last entry per id winning."""
     from keepsake.operators.merge import dedupe_last
-    ent = mapping_entries(whole_files(spark, paths))
+    ent = mapping_entries(whole_files(spark, paths, below=large))
+    files = large_files(spark, paths, large)
+    if files:
+        ent = ent.unionByName(large_mapping_entries(spark, paths, files))
     return dedupe_last(ent, "id", list(MAP_ORDER)).drop(*MAP_ORDER)
 
 
@@ -200,6 +295,26 @@ def load_mapping(spark: SparkSession, paths) -> DataFrame:
 NOT_OBJECT = "each record must be a JSON object"
 
 
+def read_records(spark: SparkSession, paths, large: int = LARGE) -> DataFrame:
+    """(file_ord, path, pos, value): each record of the input files as JSON text.
+
+    A large file holds a list, of which each element is read alone.
+    """
+    items = whole_files(spark, paths, below=large).select(
+        "file_ord", "path", F.posexplode(record_items(F.col("value"))).alias("pos", "v"))
+    out = items.select("file_ord", "path", F.col("pos").cast("bigint").alias("pos"), F.to_json("v").alias("value"))
+    files = large_files(spark, paths, large)
+    if files:
+        v = F.col("v")
+        rows = elements(spark, files).withColumn("v", F.parse_json("text"))
+        checked = F.when((F.col("pos").isNotNull()) & F.col("name").isNull() & is_object(v), v).otherwise(
+            F.raise_error(F.lit(NOT_OBJECT)).cast("variant"))
+        rows = _numbered(spark, paths, rows.select("path", F.col("pos").cast("bigint").alias("pos"),
+                                                   F.to_json(checked).alias("value")))
+        out = out.unionByName(rows)
+    return out
+
+
 def record_items(value: Column) -> Column:
     """One object or an array of objects; any non-object rejects the batch."""
     doc = F.parse_json(value)
@@ -218,6 +333,6 @@ def bookmark_responses(log: DataFrame, url: str = "url", body: str = "body") ->
     return log.where(F.col(url).rlike(BOOKMARKS_URL_PATTERN) & F.try_parse_json(F.col(body)).isNotNull())
 
 
-__all__ = ["url_strings", "document_items", "detect_format", "looks_like_rich",
+__all__ = ["url_strings", "document_items", "posts_from_items", "large_document_items", "read_records", "detect_format", "looks_like_rich",
            "posts_from_documents", "read_captures", "mapping_entries", "load_mapping", "record_items",
            "bookmark_responses"]

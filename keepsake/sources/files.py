@@ -15,20 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _as_list(paths) -> list[str]:
+def path_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def whole_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file_ord, path, value): one row per file.
+def whole_files(spark: SparkSession, paths: str | Sequence[str], below: int | None = None) -> DataFrame:
+    """(file_ord, path, value): one row per file, of files of fewer than ``below`` bytes if that is given.
 
     ``file_ord`` is the position of the given path in ``paths``; files found
     under one directory/glob share it and are ordered by ``path`` — so the
     arrival order of a file is the pair (file_ord, path).
     """
     frames = []
-    for i, p in enumerate(_as_list(paths)):
+    for i, p in enumerate(path_list(paths)):
         df = spark.read.text(p, wholetext=True)
+        if below is not None:
+            df = df.where(F.col("_metadata.file_size") < below)
         frames.append(df.select(F.lit(i).cast("bigint").alias("file_ord"),
                                 F.col("_metadata.file_path").alias("path"), "value"))
     return reduce(DataFrame.unionByName, frames)
@@ -59,7 +61,7 @@ def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     exist has no lines: a store that was never written is empty.
     """
     frames = []
-    for i, p in enumerate(_as_list(paths)):
+    for i, p in enumerate(path_list(paths)):
         if path_exists(spark, p):
             df = spark.read.option("lineSep", "\n").text(p)
             frames.append(df.select(F.lit(i).cast("bigint").alias("file_ord"),

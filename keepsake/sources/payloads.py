@@ -1,9 +1,10 @@
 """Raw capture payloads: every ``tweet_results.result`` object at any depth.
 
-The walk is the one place that needs Python: VARIANT stores object keys
-sorted, which would lose the first-appearance order between sibling keys
-that first-wins de-duplication depends on.  It is a small UDTF applied with a
-lateral join, one payload per row, so payloads spread over all tasks; the
+VARIANT stores object keys sorted, which would lose the first-appearance order
+between sibling keys that first-wins de-duplication depends on.  ``extract_results``
+walks a payload in a small Python UDTF, applied with a lateral join, one payload per
+row, so payloads spread over all tasks; it serves streams too.  ``expand_results``
+does the same with native expressions, a level of all payloads at a time.  The
 normalisation of each result is native (see ``operators.normalize``).
 """
 
@@ -11,10 +12,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from keepsake.functions.variant import is_array, is_object
+from keepsake.session import written
+
 
 @udtf(returnType="pos: int, result: string", useArrow=True)
 class TweetResults:
@@ -39,7 +43,7 @@ class TweetResults:
                     pos += 1
                 children = list(node.values())
             else:
-                children = node
+                children = node if isinstance(node, list) else []  # the payload may be a bare value
             stack.extend(c for c in reversed(children) if isinstance(c, (dict, list)))
 
 
@@ -48,3 +52,57 @@ def extract_results(payloads: DataFrame, value: str = "value") -> DataFrame:
     from keepsake.session import ship_package
     ship_package(payloads.sparkSession)
     return payloads.lateralJoin(TweetResults(F.col(value).outer()))
+
+
+#: Key of the objects that are looked for.
+HOLDER = "tweet_results"
+
+
+def _children(raw, variant):
+    """(place, key, raw JSON or text, VARIANT) of the members or elements of a container, in document order.
+
+    VARIANT sorts an object's keys; a map of texts keeps them in order, and the VARIANT
+    tells an object from a string that looks like one.
+    """
+    typed = F.try_variant_get(variant, "$", "map<string,variant>")
+    members = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e, k: F.struct(
+        k.alias("k"), e["key"].alias("key"), e["value"].alias("raw"), F.try_element_at(typed, e["key"]).alias("v")))
+    listed = F.try_variant_get(variant, "$", "array<variant>")
+    elements = F.transform(F.from_json(raw, "array<string>"), lambda x, k: F.struct(
+        k.alias("k"), F.lit(None).cast("string").alias("key"), x.alias("raw"), F.get(listed, k).alias("v")))
+    return F.when(typed.isNotNull(), members).otherwise(elements)
+
+
+def expand_results(payloads: DataFrame, value: str = "value") -> DataFrame:
+    """As :func:`extract_results` without Python: containers are expanded level by level.
+
+    Each level keeps only containers whose text names the key, so a level costs what is
+    left of the payloads above their results; there are as many levels as the deepest
+    result has containers above it.  A result's place is the path of child numbers to
+    the object that holds it; those sort in pre-order.  For batch data: each level is
+    written before the next one reads it.
+
+    Keys written with escapes and members given twice are not told apart from others.
+    """
+    names = payloads.columns
+    base = written(payloads.select(F.struct([F.col(f"`{c}`") for c in names]).alias("row"),
+                                   F.monotonically_increasing_id().alias("payload")))
+    raw, v = F.col("raw"), F.col("v")
+    level = base.select("payload", F.col("row").getField(value).alias("raw")).select(
+        "payload", F.array().cast("array<int>").alias("path"), "raw", F.try_parse_json("raw").alias("v"))
+    found = None
+    while True:
+        inner = is_object(v) | is_array(v)
+        level = written(level.where(inner & raw.contains(HOLDER)).select("payload", "path", "raw", F.to_json("v").alias("json")))
+        if level.isEmpty():
+            break
+        level = level.withColumn("v", F.parse_json("json"))
+        child = level.select("payload", "path", F.inline(_children(raw, v)))
+        held = child.where((F.col("key") == HOLDER) & is_object(F.try_variant_get("v", "$.result", "variant"))).select(
+            "payload", "path", F.get_json_object("raw", "$.result").alias("result"))
+        found = held if found is None else found.unionByName(held)
+        level = child.select("payload", F.concat("path", F.array(F.col("k"))).alias("path"), "raw", "v")
+    if found is None:
+        found = base.select("payload", F.array().cast("array<int>").alias("path"), F.lit("").alias("result")).limit(0)
+    placed = found.withColumn("pos", F.row_number().over(Window.partitionBy("payload").orderBy("path")) - 1)  # one payload
+    return base.join(placed, "payload").select(*[F.col("row").getField(c).alias(c) for c in names], "pos", "result")
