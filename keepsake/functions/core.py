@@ -83,7 +83,7 @@ def link_hosts(links) -> Column:
 
     def host(u: Column) -> Column:
         u = F.coalesce(u, F.lit(""))
-        bracketed = F.lower(F.regexp_extract(u, place + r"\[([^\[\]/?#]*)\](?::[^/?#]*)?(?:[/?#]|$)", 1))
+        bracketed = F.lower(F.regexp_extract(u, place + r"\[([^\[\]/?#]*)\][^/?#]*(?:[/?#]|$)", 1))
         named = F.regexp_replace(F.lower(F.regexp_extract(u, place + r"([^/?#:\[]*)", 1)), r"^www\.", "")
         return F.when(bracketed.rlike(IPV6), bracketed).otherwise(named)
     return F.filter(F.transform(F.coalesce(_c(links), F.array().cast("array<string>")), host), lambda h: h != "")

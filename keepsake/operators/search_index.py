@@ -56,9 +56,10 @@ def candidates(spark: SparkSession, path: str, q: str | None) -> DataFrame | Non
 def search(spark: SparkSession, path: str, q: str | None = None, tag: str | None = None) -> DataFrame:
     """The posts of an index that match, with their columns."""
     posts = spark.read.parquet(path + "/posts")
+    names = [c for c in posts.columns if c != "bucket"]
     found = candidates(spark, path, q)
     if found is not None:
         found = written(found)
         buckets = [r[0] for r in found.select("bucket").distinct().collect()]  # at most the number of buckets
         posts = posts.where(F.col("bucket").isin(buckets)).join(found, ["bucket", "id"], "left_semi")
-    return posts.where(match_tag(tag) & match_text(q)).drop("bucket")
+    return posts.where(match_tag(tag) & match_text(q)).select(names)

@@ -204,8 +204,11 @@ def large_document_items(spark: SparkSession, paths, files: list[str], fmt: str
              .when(F.coalesce("list_rich", F.col("present.rich"), F.lit(False)), F.lit(EXTENSION)).otherwise(F.lit(JSON_EXPORT)))
     docs = docs.withColumns({"present": present, "full": F.coalesce(*full)}).withColumn("format", found)
     no_list = (F.col("format") == JSON_EXPORT) & F.col("present").isNotNull() & F.col("present.text").isNotNull()
-    member = (F.when(no_list, F.raise_error(F.lit(UNSUPPORTED_EXPORT)).cast("bigint"))
-              .when(F.coalesce("is_list", F.lit(False)), F.lit(0).cast("bigint"))
+    docs = written(docs.withColumn("no_list", no_list))
+    odd = docs.where("no_list").select("path").first()  # docs has a row per large file
+    if odd is not None:
+        raise ValueError(f"{UNSUPPORTED_EXPORT}: {odd.path}")
+    member = (F.when(F.coalesce("is_list", F.lit(False)), F.lit(0).cast("bigint"))
               .when(F.col("format") == EXTENSION, F.col("full.member"))
               .when(F.col("format") == JSON_EXPORT, F.col("present.member")))
     chosen = docs.select("path", "format", member.alias("member"))

@@ -21,7 +21,7 @@ def _local(path):
 @pytest.fixture()
 def small_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
     yield
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
