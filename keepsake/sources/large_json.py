@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -307,9 +308,9 @@ def _items(pieces: DataFrame) -> DataFrame:
 
 
 def large_files(spark: SparkSession, paths, least: int = LARGE) -> list[str]:
-    """The files of at least ``least`` bytes under the given paths."""
+    """The files of at least ``least`` bytes under the given paths, as a reader takes them."""
     files = file_list(spark, paths).where(F.col("length") >= least)
-    return [r["path"] for r in files.select("path").distinct().collect()]
+    return [unquote(r["path"]) for r in files.select("path").distinct().collect()]  # metadata gives them encoded
 
 
 __all__ = ["elements", "file_list", "large_files", "begin_states"]
