@@ -10,10 +10,12 @@
    the threshold (uniform prior) falls under ``MISS``.
 4. Survivors are verified exactly on the full sets of word shingles.
    The first pivot of a bucket is its node with most candidates.
-5. Confirmed links give components.  Members of a bucket that lie in different
-   components are still open.  Where a pivot has many of them, they are dealt into
-   buckets by the shingles that the pivot lacks (see ``_spread``).  Then the pivot
-   leaves and others take its place, eight times as many each round, until no
+5. Confirmed links give components.  Before all else each node meets the most central
+   node of all its buckets, which links most of a group of near copies with one
+   comparison each.  Members of a bucket that lie in different components are still
+   open.  They meet their bucket's pivot; where a pivot leaves many open, these are
+   dealt into buckets by the shingles that the pivot lacks (see ``_spread``).  Then the
+   pivot leaves and others take its place, eight times as many each round, until no
    bucket spans two components.
    So every candidate pair is either compared or already connected; a group of
    near copies costs about one comparison per member instead of all pairs.
@@ -54,7 +56,9 @@ MISS = 1e-6
 PIECE = 1 << 20
 NO_ID = -(2 ** 63)
 #: Open members of one pivot from which on they are spread by the shingles that the pivot lacks.
-MANY = 64
+MANY = 32
+#: Pivots a bucket up to which a round ends with spreading.
+SPREAD = 8
 
 _RNG = np.random.default_rng(20240601)
 _BYTES = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64)
@@ -305,9 +309,15 @@ class NearGroups:
         comps = members.sparkSession.createDataFrame([], "node long, comp long")
         if not members.isEmpty():
             self.texts = self._texts_of(members)
+            # each node meets the most central node of all its buckets first: a group of near copies is mostly linked by that
+            best = F.max(F.struct("degree", (-F.col("node")).alias("less")))
+            centre = members.groupBy("band", "value").agg(best.alias("c"))
+            nearest = members.join(centre, ["band", "value"]).groupBy("node").agg(F.max("c").alias("c"))
+            nearest = nearest.select("node", (-F.col("c.less")).alias("b")).filter("node <> b")
+            comps = self._linked(comps, nearest)
+            members = self._open(members, comps)
         pivots = 1
         while not members.isEmpty():
-            # the node with most candidates goes first: in a group of near copies that is the one all derive from
             slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
             best = F.max(F.struct("degree", (-F.col("node")).alias("less"), "comp"))
             pivot = materialise(members.groupBy("band", "value", slot.alias("slot")).agg(best.alias("p")).select(
@@ -318,10 +328,12 @@ class NearGroups:
             meet = (F.col("comp") != F.col("comp_b")) & (F.col("is_pivot").isNull() | (F.col("node") > F.col("b")))
             comps = self._linked(comps, members.join(pivot, ["band", "value"]).filter(meet).select("node", "b"))
             rest = members.filter("is_pivot is null").drop("is_pivot")
-            if pivots == 1:
-                rest = rest.join(pivot.select("band", "value", F.col("b").alias("pivot")), ["band", "value"])
+            spread = pivots <= SPREAD
+            if spread:
+                centre = pivot.groupBy("band", "value").agg(F.min("b").alias("pivot"))
+                rest = rest.join(centre, ["band", "value"])
             members = self._open(materialise(rest), comps)
-            if pivots == 1 and not members.isEmpty():
+            if spread and not members.isEmpty():
                 members, comps = self._spread(members, comps)
             pivots *= 8
         return comps
