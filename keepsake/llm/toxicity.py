@@ -62,6 +62,8 @@ COST = 20_000.0
 #: Fits, each with newly chosen witnesses and more of the hardest clean words.
 ROUNDS = 6
 FOLDS = 5
+#: Characters from which on equal runs of words are looked for; shorter ones are computed faster than found.
+REPEATS = 7
 #: Least margin of a text: that of clean words, also for what holds no word of three characters.
 CLEAN = -1.0
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*|-_=~…«»„“”"
@@ -138,7 +140,7 @@ class Stream:
         self.last = np.repeat(np.cumsum(counts), counts)
         self.place = np.concatenate([[0], np.cumsum([len(w) for f in found for w in f])]).astype(np.int64)
 
-    def runs(self, block: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def runs(self, block: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(texts, first characters, length) of the runs of two words and more of 3 to WINDOW characters."""
         for k in range(0, len(self.owner), block):
             first = np.arange(k, min(k + block, len(self.owner)))
@@ -157,6 +159,24 @@ class Stream:
                     yield self.owner[which], self.place[which], n
 
 
+    def distinct(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(a place of each distinct run of n characters, by character codes; which of those each place is)."""
+        keys = []
+        for k in range(0, n, 10):  # ten codes of six bits to a number
+            key = np.zeros(len(at), np.int64)
+            for i in range(k, min(k + 10, n)):
+                key = (key << 6) | self.codes[at + i]
+            keys.append(key)
+        order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys)
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        for key in keys:
+            new[1:] |= np.diff(key[order]) != 0
+        which = np.empty(len(at), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return at[order[new]], which
+
+
 def windows_of(word: str) -> list[str]:
     if len(word) <= WINDOW:
         return [word]
@@ -187,8 +207,15 @@ class Machine:
             np.maximum.at(best, owner, self.margins(short))
         return dict(zip(found, best.tolist()))
 
-    def run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int = 4096) -> np.ndarray:
-        """Margins of the n characters from each place on, triple by triple over blocks that fit a processor's cache."""
+    def run_margins(self, stream: Stream, at: np.ndarray, n: int) -> np.ndarray:
+        """Margins of the n characters from each place on; equal runs are computed once."""
+        if n < REPEATS:
+            return self._run_margins(stream, at, n)
+        first, which = stream.distinct(at, n)
+        return self._run_margins(stream, first, n)[which]
+
+    def _run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int = 4096) -> np.ndarray:
+        """Margins triple by triple, over blocks that fit a processor's cache."""
         out = np.empty(len(at))
         table = self.weights.astype(np.float32, copy=False)
         norm = triples(n + 2)[2]
@@ -355,7 +382,7 @@ def near_copies(bags: list[list[str]]) -> list[bool]:
     return out
 
 
-def _chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str | None]]:
+def _chunks(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
     """The texts in order, in lists of about ``most`` characters."""
     part, size = [], 0
     for t in texts:

@@ -120,3 +120,46 @@ def test_runs_of_words_against_plain_python():
     best = m.best_runs(stream, len(texts))[0]
     assert all(np.isclose(best[i], max((g[2] for g in got if g[0] == i), default=-np.inf), atol=2e-3)
                for i in range(len(texts)))
+
+
+def _margin(machine, text):
+    """A text's margin by the kernel's definition: every triple of places, one after the other."""
+    s = [tox.START, *(int(tox.SYMBOLS[min(ord(c), 0x2FFF)]) for c in text), tox.STOP]
+    total = norm = 0.0
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, len(s)):
+                weight = tox.DECAY ** (k - i + 1)
+                total += weight * float(machine.weights[(s[i] * tox.ALPHABET + s[j]) * tox.ALPHABET + s[k]])
+                norm += weight ** 2
+    return total / norm ** 0.5 + machine.offset
+
+
+def _two_margins(machine, text):
+    words = [max([_margin(machine, w) for w in tox.windows_of(tox.clean_word(t)) if len(w) >= 3], default=-np.inf)
+             for t in tox.tokens(text)]
+    first, second = sorted([*words, tox.CLEAN, tox.CLEAN])[:-3:-1]
+    clean = [w for w in map(tox.clean_word, text.lower().split()) if w]
+    runs = ["".join(clean[a:z]) for a in range(len(clean)) for z in range(a + 2, len(clean) + 1)]
+    best = max([_margin(machine, r) for r in runs if 3 <= len(r) <= tox.WINDOW], default=-np.inf)
+    return (best, first) if best > first else (first, second)
+
+
+def test_margins_of_documents_by_definition():
+    rng = np.random.default_rng(8)
+    machine = tox.Machine(rng.normal(0, 1, tox.ALPHABET ** 3).astype(np.float32), -0.4, np.array([0.1, 1.0, 0.5]))
+    words = ["id", "iot", "worth", "less", "the", "a", "x", "of", "«quoted»", "émile", "12", "n-o", "--", "straßenbahnhaltestelle"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(40)] + ["", None, "a\nb\tc d", "the of the of the of the of"]
+    got = machine.document_margins(texts)
+    for text, margins in zip(texts, got):
+        want = _two_margins(machine, text) if text else (tox.CLEAN, tox.CLEAN)
+        assert np.allclose(margins, want, atol=1e-3), text
+    assert np.allclose(machine.scores(texts), 1 / (1 + np.exp(-(tox._design(got) @ machine.logistic))))
+
+
+def test_equal_runs_are_computed_once():
+    stream = tox.Stream(["of the house of the house", "of the mouse"])
+    for owner, at, n in stream.runs():
+        first, which = stream.distinct(at, n)
+        codes = [bytes(stream.codes[k:k + n]) for k in at]
+        assert [bytes(stream.codes[first[w]:first[w] + n]) for w in which] == codes and len(first) == len(set(codes))
