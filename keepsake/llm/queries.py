@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from keepsake.llm.common import table
 from keepsake.llm import (bpe, chat, collocations, divergence, exact_dedup, line_dedup, minhash, mixing, pii, quality,
                           token_files, toxicity, url_filter)
@@ -49,8 +51,11 @@ def op2_url_filter(spark, sf_dir):
 def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
-    return chat.digest_columns(chat.format_chat(chat.conversation_records(rows.unionByName(extra))))
+    kinds = dict(rows.dtypes)
+    extra = spark.range(2).select(
+        F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return chat.digest_columns(chat.format_chat(chat.conversation_records(rows.unionByName(extra), varied=True)))
 
 
 @query
@@ -172,8 +177,6 @@ SELECT page_id, p.host, coalesce(host_pages, 0)::BIGINT AS host_pages, len(lines
 FROM p LEFT JOIN total USING (host) LEFT JOIN drops USING (host)
 """)
 def op8_line_dedup(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = line_dedup.drop_boilerplate(pages)
     return out.select("page_id", "cleaned.host", "cleaned.host_pages", "cleaned.n_lines", "cleaned.n_dropped",
