@@ -207,14 +207,14 @@ class Machine:
             np.maximum.at(best, owner, self.margins(short))
         return dict(zip(found, best.tolist()))
 
-    def run_margins(self, stream: Stream, at: np.ndarray, n: int) -> np.ndarray:
+    def run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int = 4096) -> np.ndarray:
         """Margins of the n characters from each place on; equal runs are computed once."""
         if n < REPEATS:
-            return self._run_margins(stream, at, n)
+            return self._run_margins(stream, at, n, block)
         first, which = stream.distinct(at, n)
-        return self._run_margins(stream, first, n)[which]
+        return self._run_margins(stream, first, n, block)[which]
 
-    def _run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int = 4096) -> np.ndarray:
+    def _run_margins(self, stream: Stream, at: np.ndarray, n: int, block: int) -> np.ndarray:
         """Margins triple by triple, over blocks that fit a processor's cache."""
         out = np.empty(len(at))
         table = self.weights.astype(np.float32, copy=False)
