@@ -4,15 +4,17 @@ The projection of ``operators/rules.py`` evaluates every rule on every row, whic
 hundreds of rules.  Here a rule table of any size stays a table:
 
 1. Every match of a keyword pattern holds one of its required literals
-   (``rules.required_literals``).  Literals are cut into q-grams of ``Q`` characters (a
-   shorter literal is its own gram).  A pattern that is one whole word has that word
+   (``rules.required_literals``).  Literals are cut into q-grams of ``Q`` characters, long
+   ones of ``LONG``, which are rarer (a shorter literal is its own gram).  A pattern that is one whole word has that word
    as its only key.
 2. A post's haystack gives its distinct words and q-grams, of which only those that
    some rule has are kept (one equi-join on the key; the text isn't copied along).
 3. Each literal is looked up by its rarest key, by the number of posts that hold it.
    A literal with a key that no post holds can't match and goes at once.
-4. The (post, rule) candidates so found meet the post's haystack again by its row
-   number, and only there the regular expression decides.
+4. A rule that is one whole word, or a text no longer than a gram, is decided by its
+   key alone.  The other (post, rule) candidates meet the post's haystack again by its
+   row number; there a plain text is compared, and for the other patterns the regular
+   expression decides where one of their literals is.
 
 Patterns without a required literal (``\\d+`` alone) have no gram; these few are
 evaluated on every row as literal expressions.  Domain rules are one equi-join as
@@ -42,40 +44,57 @@ from keepsake.functions.core import text_grams
 from keepsake.operators import rules as R
 from keepsake.session import ship_package, written
 
-#: Characters of a gram.
-Q = 3
+#: Characters of a gram; of a literal of at least ``LONG`` characters, that many.
+Q, LONG = 3, 6
 #: Rules from which on ``points`` uses the index.
 MANY_RULES = 1000
 #: Prefix of a key that is a whole word; a gram's is its length.
 WORD = "w"
 
 
-def literal_keys(pattern: str) -> list[list[str]] | None:
-    """For each literal of a pattern, of which one must occur, the keys that all occur with it; None without literals."""
-    literals = R.required_literals(pattern)
-    if literals is None:
-        return None
-    left, core, right = R.search_edges(pattern)
-    if left == right == r"\b" and literals == [core.lower()] and all(map(R.is_word_char, core)):
-        return [[f"{WORD}:{literals[0]}"]]
-    return [[f"{min(Q, len(x))}:{x[k:k + Q]}" for k in range(max(1, len(x) - Q + 1))] for x in literals]
+def gram_size(literal: str) -> int:
+    return LONG if len(literal) >= LONG else min(Q, len(literal))
+
+
+def _grams(literal: str) -> list[str]:
+    n = gram_size(literal)
+    return [f"{n}:{literal[k:k + n]}" for k in range(len(literal) - n + 1)]
+
+
+def compile_pattern(pattern: str) -> dict:
+    """What the index needs of a keyword pattern.
+
+    ``any_of``: literals of which one must occur; ``literals``: for each of them the keys
+    that all occur with it; None without literals.  ``bare``: the text that the pattern
+    is, if it has no edges.  ``sure``: whether a haystack that holds the key is a match:
+    the pattern is one whole word, or a bare text that is its own gram.
+    """
+    any_of = R.required_literals(pattern)
+    left, literal, right = R.plain_parts(pattern) or ("", "", "")
+    word = bool(left and right) and all(map(R.is_word_char, literal))
+    bare = literal if literal and not (left or right) else None
+    sure = word or (bare is not None and gram_size(bare) == len(bare))
+    keys = [[f"{WORD}:{literal}"]] if word else any_of and [_grams(x) for x in any_of]
+    return {"regex": R.spark_regex(pattern), "sure": sure, "bare": bare, "any_of": any_of, "literals": keys}
+
+
+NO_KEYWORD = {"regex": None, "sure": False, "bare": None, "any_of": None, "literals": None}
 
 
 def _compile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        kw = rows["kind"] == "kw"
-        rows["regex"] = [R.spark_regex(p) if k else None for p, k in zip(rows["pattern"], kw)]
-        rows["literals"] = [literal_keys(p) if k else None for p, k in zip(rows["pattern"], kw)]
-        yield rows
+        made = [compile_pattern(p) if k == "kw" else NO_KEYWORD for k, p in zip(rows["kind"], rows["pattern"])]
+        yield pd.concat([rows, pd.DataFrame(made, index=rows.index, columns=list(NO_KEYWORD))], axis=1)
 
 
 def compiled(rules: DataFrame) -> DataFrame:
     """The rule table with a number per rule, its regular expression and the keys of its literals, written once."""
     ship_package(rules.sparkSession)
-    named = rules.select(F.monotonically_increasing_id().alias("rule"), "category", F.col("ord").cast("int").alias("ord"),
-                         "kind", "pattern")
-    return written(named.mapInPandas(_compile, "rule long, category string, ord int, kind string, pattern string, "
-                                               "regex string, literals array<array<string>>"))
+    spread = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what Python compiles is small but slow
+    named = rules.select("category", F.col("ord").cast("int").alias("ord"), "kind", "pattern").repartition(spread)
+    made = named.mapInPandas(_compile, "category string, ord int, kind string, pattern string, regex string, sure boolean, "
+                                       "bare string, any_of array<string>, literals array<array<string>>")
+    return written(made.withColumn("rule", F.monotonically_increasing_id()))
 
 
 def _folded(hay: Column) -> Column:
@@ -114,10 +133,15 @@ def candidates(hays: DataFrame, rules: DataFrame) -> DataFrame:
 
 def keyword_hits(hays: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, rule, category, ord) of every keyword rule whose pattern is in the haystack."""
-    found = candidates(hays, rules)
-    of = rules.select("rule", "category", "ord", "regex")
-    pairs = found.join(of, "rule").join(hays.select("row", "hay"), "row")
-    return pairs.filter(F.rlike("hay", F.col("regex"))).select("row", "rule", "category", "ord")
+    cols = ["row", "rule", "category", "ord"]
+    found = candidates(hays, rules).join(rules.select("rule", "category", "ord", "regex", "sure", "bare", "any_of"), "rule")
+    found = written(found)  # read twice
+    # only columns of the rest travel to the haystacks, which are folded as the keys were
+    pairs = found.where("not sure").drop("sure").join(hays.select("row", "hay", _folded(F.col("hay")).alias("plain")), "row")
+    plain = F.col("plain")
+    hit = F.when(F.col("bare").isNotNull(), plain.contains(F.col("bare"))).otherwise(
+        F.exists("any_of", lambda x: plain.contains(x)) & F.rlike("hay", F.col("regex")))
+    return found.where("sure").select(cols).unionByName(pairs.filter(hit).select(cols))
 
 
 def host_suffixes(host: Column) -> Column:

@@ -96,3 +96,13 @@ def test_guards_are_exact_for_every_letter(spark):
 
 def test_rule_rows_still_flatten():
     assert len(rule_rows(CATS)) == sum(len(k) + len(d) for _, k, d in CATS)
+
+
+def test_rules_that_their_key_decides_need_no_haystack(spark):
+    made = {p: RI.compile_pattern(p) for p in (r"\brust\b", "ai", "inflac", "inflación", r"\bnew york\b", r"colou?r", "σας")}
+    assert [p for p, m in made.items() if m["sure"]] == [r"\brust\b", "ai", "inflac"]
+    assert made["inflación"]["literals"] == [["6:inflac", "6:nflaci", "6:flació", "6:lación"]]
+    assert made["inflación"]["bare"] == "inflación" and made["σας"]["bare"] is None
+    posts = posts_df(spark, [post(1, text="inflación rust ai"), post(2, text="inflacion trust xaix"), post(3, text="ınflac ruſt")])
+    cats = [(p, [p], []) for p in made if "y" not in p]
+    assert _rows(RI.category_points(posts, R.rules_frame(spark, cats))) == _rows(R.category_points(posts, cats))
