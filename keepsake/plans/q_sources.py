@@ -246,11 +246,14 @@ def filter_responses_q(spark, sf_dir):
 
 
 def written_documents(spark, documents) -> str:
-    """Writes one multi-line file per document to the scratch folder; returns the folder."""
+    """Writes one multi-line file per document to the scratch folder; returns the folder.
+
+    All in one folder: a reader lists a folder at once, but a folder per document each by a task of its own.
+    """
     base = scratch_dir(spark)
     indented = F.replace(F.replace(F.col("value"), F.lit('}, {"'), F.lit('},\n  {\n    "')), F.lit("], "), F.lit("],\n  "))
-    (documents.select(F.col("path").alias("doc"), indented.alias("value"))
-     .write.partitionBy("doc").option("lineSep", "\n").text(base))
+    (documents.select(indented.alias("value"))
+     .write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(base))
     return base
 
 

@@ -18,7 +18,7 @@ from keepsake.functions.variant import (as_array, first_truthy, is_array, is_obj
 from keepsake.schema import conform_posts
 from keepsake.session import written
 from keepsake.sources.files import FILE_ORDER, whole_files
-from keepsake.sources.large_json import LARGE, elements, file_list, large_files
+from keepsake.sources.large_json import LARGE, elements, file_list, large_files, large_text
 
 JSON_EXPORT = "json-export"
 EXTENSION = "extension"
@@ -182,9 +182,9 @@ def _numbered(spark: SparkSession, paths, rows: DataFrame) -> DataFrame:
     return rows.join(file_list(spark, paths).select("file_ord", "path"), "path")
 
 
-def large_document_items(spark: SparkSession, paths, files: list[str], fmt: str | None = None) -> DataFrame:
+def large_document_items(spark: SparkSession, paths, files: tuple[list[str], int], fmt: str | None = None) -> DataFrame:
     """As :func:`document_items` for large files, of which no task holds more than a split."""
-    rows = written(elements(spark, files))
+    rows = written(elements(spark, *files))
     items = rows.where("pos is not null").withColumn("item", F.parse_json("text"))
     item = F.col("item")
     facts = items.groupBy("path", "member").agg(
@@ -219,14 +219,13 @@ def large_document_items(spark: SparkSession, paths, files: list[str], fmt: str
     return _numbered(spark, paths, out).select(*FILE_ORDER, "format", "pos", "item")
 
 
-def _large_url_lists(spark: SparkSession, files: list[str], fmt: str | None) -> DataFrame:
+def _large_url_lists(spark: SparkSession, files: tuple[list[str], int], fmt: str | None) -> DataFrame:
     """The URLs of large text files: those whose first line doesn't begin like a JSON document.
 
     Positions number the URLs of a file; they come from a running count over its splits.
     """
-    raw = spark.read.option("lineSep", "\n").text(files).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), "value")
+    raw = large_text(spark, files[0], "\n", files[1]).select(
+        "path", "block", F.monotonically_increasing_id().alias("line"), "value")
     urls = raw.select("path", "block", "line", F.posexplode(F.split("value", LINE_BREAKS)).alias("part", "url")).select(
         "path", "block", "line", "part", strip_ws(F.col("url")).alias("url")).where("url <> ''")
     begin = urls.where("block = 0").groupBy("path").agg(F.min_by("url", F.struct("line", "part")).alias("begin"))
@@ -271,9 +270,9 @@ def mapping_entries(files: DataFrame) -> DataFrame:
     return _entry_columns(ex.select("file_ord", "path", "pos", F.col("x.id").alias("id"), F.col("x.e").alias("e")))
 
 
-def large_mapping_entries(spark: SparkSession, paths, files: list[str]) -> DataFrame:
+def large_mapping_entries(spark: SparkSession, paths, files: tuple[list[str], int]) -> DataFrame:
     """As :func:`mapping_entries` for large files: members of an object, or elements of a list."""
-    rows = elements(spark, files)
+    rows = elements(spark, *files)
     listed = rows.where("name is null").withColumn("e", F.parse_json("text"))
     e = F.col("e")
     listed = listed.where(is_object(e) & truthy(vget(e, "$.id"))).select("path", "pos", text(vget(e, "$.id")).alias("id"), "e")
@@ -309,7 +308,7 @@ def read_records(spark: SparkSession, paths, large: int = LARGE) -> DataFrame:
     files = large_files(spark, paths, large)
     if files:
         v = F.col("v")
-        rows = elements(spark, files).withColumn("v", F.parse_json("text"))
+        rows = elements(spark, *files).withColumn("v", F.parse_json("text"))
         checked = F.when((F.col("pos").isNotNull()) & F.col("name").isNull() & is_object(v), v).otherwise(
             F.raise_error(F.lit(NOT_OBJECT)).cast("variant"))
         rows = _numbered(spark, paths, rows.select("path", F.col("pos").cast("bigint").alias("pos"),

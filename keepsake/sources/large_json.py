@@ -227,10 +227,17 @@ def _pieces(states):
     return run
 
 
-def _fragments(spark: SparkSession, paths) -> DataFrame:
+def large_text(spark: SparkSession, paths, sep: str, least: int = 0) -> DataFrame:
+    """The text between separators, of files of at least ``least`` bytes: paths and folders as given, not a list of files."""
+    read = spark.read.option("lineSep", sep)
+    frames = [read.text(p).where(F.col("_metadata.file_size") >= least) for p in path_list(paths)] if least else [read.text(paths)]
+    return reduce(DataFrame.unionByName, [f.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value") for f in frames])
+
+
+def _fragments(spark: SparkSession, paths, least: int) -> DataFrame:
     """(path, block, value): the text between commas; a split's rows come in order, in one task."""
-    return spark.read.option("lineSep", ",").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return large_text(spark, paths, ",", least).select("path", "block", "value")
 
 
 def file_list(spark: SparkSession, paths) -> DataFrame:
@@ -241,15 +248,15 @@ def file_list(spark: SparkSession, paths) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def elements(spark: SparkSession, paths) -> DataFrame:
-    """(path, member, name, pos, text): the items of each file's document.
+def elements(spark: SparkSession, paths, least: int = 0) -> DataFrame:
+    """(path, member, name, pos, text): the items of each file's document, of files of at least ``least`` bytes.
 
-    ``name`` is null for the elements of a top-level list, else the member's key; ``pos``
+    No file may be under two of the paths if ``least`` is given (see :func:`large_files`).  ``name`` is null for the elements of a top-level list, else the member's key; ``pos``
     counts the elements of a list from 0 and is null for a member itself.  A member that
     is a list has a row with null ``text``, and one per element.
     """
     ship_package(spark)
-    fragments = _fragments(spark, paths)
+    fragments = _fragments(spark, paths, least)
     states = begin_states(fragments.mapInArrow(
         _summaries, "path string, block long, begin string, odd boolean, closed array<long>, opened array<string>").collect())
     told = spark.sparkContext.broadcast(states)
@@ -307,10 +314,19 @@ def _items(pieces: DataFrame) -> DataFrame:
             .unionByName(members.select("path", "member", "name", F.lit(None).cast("long").alias("pos"), "text")))
 
 
-def large_files(spark: SparkSession, paths, least: int = LARGE) -> list[str]:
-    """The files of at least ``least`` bytes under the given paths, as a reader takes them."""
-    files = file_list(spark, paths).where(F.col("length") >= least)
-    return [unquote(r["path"]) for r in files.select("path").distinct().collect()]  # metadata gives them encoded
+def large_files(spark: SparkSession, paths, least: int = LARGE) -> tuple[list[str], int] | None:
+    """(paths, least) for :func:`elements` to read the files of at least ``least`` bytes once each; None if there are none.
+
+    The paths as given, which the reader lists itself; only if some file is under two of
+    them, the files, as a reader takes them.
+    """
+    files = file_list(spark, paths).where(F.col("length") >= least).groupBy("path").count()
+    most = files.agg(F.max("count")).first()[0]
+    if most is None:
+        return None
+    if most == 1:
+        return path_list(paths), least
+    return [unquote(r["path"]) for r in files.select("path").collect()], 0  # metadata gives them encoded
 
 
 __all__ = ["elements", "file_list", "large_files", "begin_states"]

@@ -147,3 +147,26 @@ def test_states_compose(spark):
         real = ~odd
         a, b = L.left_open(chars[:cut][real[:cut]]), L.left_open(chars[cut:][real[cut:]])
         assert L.followed(a, b) == whole
+
+
+def test_large_files_are_read_by_folder_not_by_a_list(spark, tmp_path):
+    folders = [str(tmp_path / n) for n in "ab"]
+    for k, f in enumerate(folders):
+        (tmp_path / "ab"[k] / "p=1").mkdir(parents=True)
+        (tmp_path / "ab"[k] / "p=1" / "x.json").write_text('[{"id": "%d"}]' % k)
+        (tmp_path / "ab"[k] / "p=1" / "small.json").write_text("[]")
+    assert L.large_files(spark, folders, 5) == (folders, 5)
+    assert L.large_files(spark, folders, 500) is None
+    assert sorted(r.text for r in L.elements(spark, folders, 5).collect()) == ['{"id": "0"}', '{"id": "1"}']
+    twice = [folders[0], folders[0] + "/p=1/x.json"]
+    paths, least = L.large_files(spark, twice, 5)
+    assert least == 0 and len(paths) == 1 and paths[0].endswith("x.json")
+    assert L.elements(spark, paths, least).count() == 1
+
+
+def test_documents_are_written_into_one_folder(spark):
+    from keepsake.plans.q_sources import written_documents
+    docs = spark.createDataFrame([(f"export/{k}", f'[{{"id": "{k}"}}, 3]') for k in range(30)], "path string, value string")
+    base = written_documents(spark, docs).removeprefix("file:")
+    assert not [n for n in os.listdir(base) if os.path.isdir(os.path.join(base, n))]
+    assert len([n for n in os.listdir(base) if n.endswith(".txt")]) == 30
