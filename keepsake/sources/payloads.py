@@ -20,7 +20,8 @@ from keepsake.functions.variant import is_array, is_object
 from keepsake.session import written
 
 
-@udtf(returnType="pos: int, result: string", useArrow=True)
+# Not by Arrow: its batches hold 10,000 payloads whatever their size, pickled ones a hundred.
+@udtf(returnType="pos: int, result: string", useArrow=False)
 class TweetResults:
     """(pos, result JSON) for each ``tweet_results.result`` object in
     pre-order; unparseable payloads yield nothing."""

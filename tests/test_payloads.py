@@ -66,6 +66,11 @@ def test_native_expansion_equals_the_walk(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_payloads_go_to_python_in_small_batches(spark):
+    plan = extract_results(spark.createDataFrame([(NESTED,)], "value string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
 def test_fields_of_a_result(spark):
     r = _norm(spark, timeline(result(31, text="boa tarde", handle="rui")))["31"]
     assert (r.url, r.text, r.author.name) == ("https://x.com/rui/status/31", "boa tarde", "Dona rui")
