@@ -11,6 +11,8 @@ normalisation of each result is native (see ``operators.normalize``).
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,50 +61,78 @@ def extract_results(payloads: DataFrame, value: str = "value") -> DataFrame:
 HOLDER = "tweet_results"
 
 
-def _children(raw, variant):
-    """(place, key, raw JSON or text, VARIANT) of the members or elements of a container, in document order.
+def _escaped(raw):
+    """Whether a text holds escapes of ASCII characters, which may spell any key."""
+    return reduce(or_, (raw.contains(f"\\u00{d}") for d in "234567"))
 
-    VARIANT sorts an object's keys; a map of texts keeps them in order, and the VARIANT
-    tells an object from a string that looks like one.
+
+def _leads(raw):
+    """Whether a result may lie in a container of this text, of a payload with or without such escapes."""
+    return raw.contains(f'"{HOLDER}"') | (F.col("escaped") & _escaped(raw))
+
+
+def _children(raw):
+    """(place, key, raw JSON, kind) of the members or elements of a container that may lead to results, in document order.
+
+    One parse gives the children as texts, members in order.  A string that looks like a
+    container with the key has its quotes escaped; only where such are, a second parse
+    tells by VARIANTs which children are containers.  Both are made once a container, not
+    once a child.
     """
-    typed = F.try_variant_get(variant, "$", "map<string,variant>")
-    members = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e, k: F.struct(
-        k.alias("k"), e["key"].alias("key"), e["value"].alias("raw"), F.try_element_at(typed, e["key"]).alias("v")))
-    listed = F.try_variant_get(variant, "$", "array<variant>")
-    elements = F.transform(F.from_json(raw, "array<string>"), lambda x, k: F.struct(
-        k.alias("k"), F.lit(None).cast("string").alias("key"), x.alias("raw"), F.get(listed, k).alias("v")))
-    return F.when(typed.isNotNull(), members).otherwise(elements)
+    none = F.lit(None).cast("string")
+    texts = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e, k: F.struct(
+        k.alias("k"), e["key"].alias("key"), e["value"].alias("raw")))
+    items = F.transform(F.from_json(raw, "array<string>"), lambda x, k: F.struct(
+        k.alias("k"), none.alias("key"), x.alias("raw")))
+
+    def kinds(children, kind):
+        return F.transform(children, lambda c: F.struct(*[c[n].alias(n) for n in ("k", "key", "raw")], kind(c["raw"]).alias("kind")))
+
+    def told(children, variants):
+        return F.zip_with(children, variants, lambda c, v: F.struct(
+            *[c[n].alias(n) for n in ("k", "key", "raw")],
+            F.when(is_object(v), F.lit("{")).when(is_array(v), F.lit("[")).alias("kind")))
+
+    def first(text):
+        mark = F.substring(text, 1, 1)
+        return F.when(mark.isin("{", "["), mark)
+    is_map = F.col("kind") == "{"
+    unsure = F.col("escaped") | F.col("quoted")
+    every = (F.when(unsure & is_map, told(texts, F.map_values(F.from_json(raw, "map<string,variant>"))))
+             .when(unsure, told(items, F.from_json(raw, "array<variant>")))
+             .when(is_map, kinds(texts, first)).otherwise(kinds(items, first)))
+    return F.filter(every, lambda c: c["kind"].isNotNull() & (_leads(c["raw"]) | F.coalesce(c["key"] == HOLDER, F.lit(False))))
 
 
 def expand_results(payloads: DataFrame, value: str = "value") -> DataFrame:
     """As :func:`extract_results` without Python: containers are expanded level by level.
 
-    Each level keeps only containers whose text names the key, so a level costs what is
+    Each level keeps only containers whose text names the key (or has escapes that may), so a level costs what is
     left of the payloads above their results; there are as many levels as the deepest
     result has containers above it.  A result's place is the path of child numbers to
     the object that holds it; those sort in pre-order.  For batch data: each level is
     written before the next one reads it.
 
-    Keys written with escapes and members given twice are not told apart from others.
+    Of a payload with members given twice nothing is found.
     """
     names = payloads.columns
     base = written(payloads.select(F.struct([F.col(f"`{c}`") for c in names]).alias("row"),
                                    F.monotonically_increasing_id().alias("payload")))
-    raw, v = F.col("raw"), F.col("v")
-    level = base.select("payload", F.col("row").getField(value).alias("raw")).select(
-        "payload", F.array().cast("array<int>").alias("path"), "raw", F.try_parse_json("raw").alias("v"))
+    raw, v = F.col("raw"), F.try_parse_json("raw")
+    marks = [_escaped(raw).alias("escaped"), raw.contains(HOLDER + "\\").alias("quoted")]  # looked for once a payload
+    level = base.select("payload", F.array().cast("array<int>").alias("path"), F.col("row").getField(value).alias("raw"))
+    level = written(level.select("*", *marks, F.when(is_object(v), F.lit("{")).when(is_array(v), F.lit("[")).alias("kind"))
+                    .where(F.col("kind").isNotNull() & _leads(raw)))
+    kept = ["payload", "escaped", "quoted"]
     found = None
-    while True:
-        inner = is_object(v) | is_array(v)
-        level = written(level.where(inner & raw.contains(HOLDER)).select("payload", "path", "raw", F.to_json("v").alias("json")))
-        if level.isEmpty():
-            break
-        level = level.withColumn("v", F.parse_json("json"))
-        child = level.select("payload", "path", F.inline(_children(raw, v)))
-        held = child.where((F.col("key") == HOLDER) & is_object(F.try_variant_get("v", "$.result", "variant"))).select(
+    while not level.isEmpty():
+        child = written(level.select(*kept, "path", F.inline(_children(raw))))
+        result = F.try_variant_get(v, "$.result", "variant")
+        held = child.where((F.col("key") == HOLDER) & (F.col("kind") == "{") & is_object(result)).select(
             "payload", "path", F.get_json_object("raw", "$.result").alias("result"))
         found = held if found is None else found.unionByName(held)
-        level = child.select("payload", F.concat("path", F.array(F.col("k"))).alias("path"), "raw", "v")
+        level = child.where(_leads(raw)).select(
+            *kept, F.concat("path", F.array(F.col("k"))).alias("path"), "raw", "kind")
     if found is None:
         found = base.select("payload", F.array().cast("array<int>").alias("path"), F.lit("").alias("result")).limit(0)
     placed = found.withColumn("pos", F.row_number().over(Window.partitionBy("payload").orderBy("path")) - 1)  # one payload

@@ -66,6 +66,25 @@ def test_native_expansion_equals_the_walk(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_keys_and_strings_with_escapes(spark):
+    held = '{"result": {"rest_id": "%s"}}'
+    texts = ['{"a": {"tweet\\u005fresults": %s}, "b": "{\\"tweet_results\\": {\\"result\\": {}}}"}' % (held % 1),
+             '[{"tweet_results": %s}, "[{\\u0022tweet_results\\u0022: {}}]", {"note_tweet_results": %s}]' % (held % 2, held % 0)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, value string")
+    got = [[(r.n, r.pos, json.loads(r.result)["rest_id"]) for r in f(df).orderBy("n", "pos").collect()]
+           for f in (expand_results, extract_results)]
+    assert got[0] == got[1] == [(0, 0, "1"), (1, 0, "2")]
+
+
+def test_a_level_parses_a_container_once(spark, monkeypatch):
+    from keepsake.sources import payloads as P
+
+    plans = []
+    monkeypatch.setattr(P, "written", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or df.localCheckpoint())
+    assert expand_results(spark.createDataFrame([(NESTED,)], "value string")).count() == 4
+    assert not any("parse_json" in p.split("transform(")[-1] for p in plans if "inline(" in p)
+
+
 def test_payloads_go_to_python_in_small_batches(spark):
     plan = extract_results(spark.createDataFrame([(NESTED,)], "value string"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
