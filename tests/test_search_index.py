@@ -34,3 +34,12 @@ def test_a_rare_query_reads_few_posts(spark, scratch):
     assert any(p.startswith("isnotnull(bucket") or "(bucket#" in p.split("]")[0] for p in scans[1:])  # one directory is read
     plan = SI.candidates(spark, scratch + "/ix", "needle")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram" in plan
+
+
+def test_postings_are_rows_of_a_gram_not_of_a_post(spark, scratch):
+    rows = [post(k, text="the same words \U0001d11e\u00e9\u0130", tags=[]) for k in range(300)] + [post(7, text="ab"), post(7, text="words of seven")]
+    SI.write_index(posts_df(spark, rows), scratch + "/ix", buckets=3)
+    held = spark.read.parquet(scratch + "/ix/postings").where("gram = 'sam'").selectExpr("size(numbers) AS n").collect()
+    assert sum(r.n for r in held) == 300 > 10 * len(held)
+    assert sorted(r.text for r in SI.search(spark, scratch + "/ix", "seven").collect()) == ["words of seven"]
+    assert SI.search(spark, scratch + "/ix", "words \U0001d11e\u00e9").count() == 300
