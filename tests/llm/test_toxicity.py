@@ -163,3 +163,15 @@ def test_equal_runs_are_computed_once():
         first, which = stream.distinct(at, n)
         codes = [bytes(stream.codes[k:k + n]) for k in at]
         assert [bytes(stream.codes[first[w]:first[w] + n]) for w in which] == codes and len(first) == len(set(codes))
+
+
+def test_scoring_leaves_blas_threads_alone(monkeypatch):
+    class NoProduct(np.ndarray):
+        def __matmul__(self, other):
+            raise AssertionError("a thin product by BLAS")
+    rng = np.random.default_rng(2)
+    m = tox.Machine(rng.normal(size=tox.ALPHABET ** 3).astype(np.float32).view(NoProduct), 0.2, np.zeros(3))
+    words = ["".join(rng.choice(list("abcdefgh"), 14)) for _ in range(300)]
+    got = m.margins(words)
+    want = [0.2 + float(np.asarray(m.weights)[c].astype(float) @ w) for _, code, w in tox.codes_by_length(words) for c in code]
+    assert np.allclose(got, want)
