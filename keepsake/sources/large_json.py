@@ -235,7 +235,7 @@ def large_text(spark: SparkSession, paths, sep: str, least: int = 0) -> DataFram
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value") for f in frames])
 
 
-def _fragments(spark: SparkSession, paths, least: int) -> DataFrame:
+def _fragments(spark: SparkSession, paths, least: int = 0) -> DataFrame:
     """(path, block, value): the text between commas; a split's rows come in order, in one task."""
     return large_text(spark, paths, ",", least).select("path", "block", "value")
 
