@@ -14,7 +14,8 @@
    node of all its buckets, which links most of a group of near copies with one
    comparison each.  Members of a bucket that lie in different components are still
    open.  They meet their bucket's pivot; where a pivot leaves many open, these are
-   dealt into buckets by the shingles that the pivot lacks (see ``_spread``).  Then the
+   dealt into buckets by the shingles that the pivot lacks (see ``_spread``).  Of
+   buckets with equal members one is kept.  Then the
    pivot leaves and others take its place, eight times as many each round, until no
    bucket spans two components.
    So every candidate pair is either compared or already connected; a group of
@@ -301,7 +302,7 @@ class NearGroups:
 
     def _components(self) -> DataFrame:
         """(node, comp) of the nodes that have a link."""
-        bands = self.nodes.select("node", F.posexplode("sig").alias("band", "value"))
+        bands = self.nodes.select("node", F.col("n").alias("size"), F.posexplode("sig").alias("band", "value"))
         shared = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         members = materialise(bands.join(shared, ["band", "value"]))
         degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -319,13 +320,14 @@ class NearGroups:
         pivots = 1
         while not members.isEmpty():
             slot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-            best = F.max(F.struct("degree", (-F.col("node")).alias("less"), "comp"))
+            best = F.max(F.struct("degree", (-F.col("node")).alias("less"), "comp", "size"))
             pivot = materialise(members.groupBy("band", "value", slot.alias("slot")).agg(best.alias("p")).select(
-                "band", "value", (-F.col("p.less")).alias("b"), F.col("p.comp").alias("comp_b")))
+                "band", "value", (-F.col("p.less")).alias("b"), F.col("p.comp").alias("comp_b"), F.col("p.size").alias("size_b")))
             own = pivot.select("band", "value", F.col("b").alias("node"), F.lit(True).alias("is_pivot"))
             members = members.join(own, ["band", "value", "node"], "left")
-            # two pivots of a bucket meet once
-            meet = (F.col("comp") != F.col("comp_b")) & (F.col("is_pivot").isNull() | (F.col("node") > F.col("b")))
+            # two pivots of a bucket meet once; sets too unlike in size can't be linked
+            meet = ((F.col("comp") != F.col("comp_b")) & (F.col("is_pivot").isNull() | (F.col("node") > F.col("b")))
+                    & (100 * F.least("size", "size_b") >= self.percent * F.greatest("size", "size_b")))
             comps = self._linked(comps, members.join(pivot, ["band", "value"]).filter(meet).select("node", "b"))
             rest = members.filter("is_pivot is null").drop("is_pivot")
             spread = pivots <= SPREAD
@@ -345,10 +347,13 @@ class NearGroups:
         return comps if links.isEmpty() else self._merged(comps, links)
 
     def _open(self, members: DataFrame, comps: DataFrame) -> DataFrame:
-        """Members with their present components, of the buckets that lie in more than one."""
+        """Members with their present components, of the buckets that lie in more than one; of equal buckets one."""
         now = materialise(members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        open_ = now.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        return materialise(now.join(open_.select("band", "value"), ["band", "value"]))
+        open_ = now.groupBy("band", "value").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("i")).filter("x < y")
+        one = open_.groupBy("x", "y", "n", "h", "i").agg(F.min(F.struct("band", "value")).alias("one"))
+        return materialise(now.join(one.select("one.*"), ["band", "value"]))
 
     def _spread(self, members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Replaces the buckets of a pivot that has many open members by smaller ones.
@@ -383,8 +388,9 @@ class NearGroups:
         near = near.join(sizes, ["pivot", "x"]).filter(
             F.col("common") * whole >= share * (F.col("size") + F.col("size_x")))
         comps = self._linked(comps, near.select("x", "node"))
-        tokens = rest.select(F.lit(-1).alias("band"), F.explode("outside").alias("token"), "pivot", "node", "degree", "comp")
-        small = tokens.select("band", F.xxhash64("pivot", "token").alias("value"), "node", "degree", "comp")
+        tokens = rest.select(F.lit(-1).alias("band"), F.explode("outside").alias("token"), "pivot", "node", "degree", "comp",
+                             "size")
+        small = tokens.select("band", F.xxhash64("pivot", "token").alias("value"), "node", "degree", "comp", "size")
         return self._open(materialise(few.select(*small.columns).unionByName(small)), comps), comps
 
     def _merged(self, comps: DataFrame, links: DataFrame) -> DataFrame:

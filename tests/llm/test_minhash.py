@@ -95,3 +95,13 @@ def test_estimates_follow_the_similarity():
     assert list(n) == [196, 196]
     v = sig.view(np.uint16).reshape(2, -1)
     assert abs((v[0] == v[1]).mean() - 146 / 246) < 0.15
+
+
+def test_of_equal_buckets_one_stays_open(spark):
+    groups = object.__new__(minhash.NearGroups)
+    members = spark.createDataFrame([(band, value, node, node) for band, value, nodes in (
+        (0, 7, (1, 2, 3)), (4, 9, (3, 2, 1)), (4, 8, (1, 2)), (5, 8, (1, 4))) for node in nodes],
+        "band int, value long, node long, comp long")
+    comps = spark.createDataFrame([(1, 1), (4, 1)], "node long, comp long")
+    left = sorted((r["band"], r["value"], r["node"], r["comp"]) for r in groups._open(members, comps).collect())
+    assert left == [(0, 7, 1, 1), (0, 7, 2, 2), (0, 7, 3, 3), (4, 8, 1, 1), (4, 8, 2, 2)]
