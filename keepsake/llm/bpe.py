@@ -37,6 +37,8 @@ from keepsake.session import ship_package
 
 #: Words and word pairs that a worker remembers before it starts anew.
 REMEMBER = 400_000
+#: Texts whose ids and decoded text a worker holds at a time.
+PIECE = 500
 #: Stands for the end-of-word suffix as one character.
 WORD_END = ""
 #: White space as the tokenizer's pattern sees it (Unicode White_Space).
@@ -213,8 +215,9 @@ def _round_trip(path: str):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = load(path)
         for batch in texts:
-            ids = [t.encode(x) for x in batch]
-            yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x) for x in ids]})
+            for at in range(0, max(1, len(batch)), PIECE):
+                ids = [t.encode(x) for x in batch[at:at + PIECE]]
+                yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x) for x in ids]})
     return F.pandas_udf(run, "struct<ids:binary,decoded:string>")
 
 

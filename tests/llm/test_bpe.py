@@ -79,3 +79,14 @@ def test_operator_keeps_columns_and_decodes(spark, docs):
     assert [(r["lang"], r["was"], r["decoded"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [
         ("en", "", ""), ("en", "hello</w> hello</w>", "hello</w> hello</w>"), ("en", "hello</w> hello</w>", "hello</w> hello</w>")]
     assert bpe.encode_documents(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_ids_leave_a_worker_in_pieces(spark):
+    import pandas as pd
+
+    texts = [None, ""] + [f"word{i} and more" for i in range(1201)]
+    pieces = list(bpe._round_trip(tokenizer_path()).func(iter([pd.Series(texts), pd.Series([], dtype="object")])))
+    assert max(map(len, pieces)) <= bpe.PIECE and len(pieces[-1]) == 0
+    whole = pd.concat(pieces, ignore_index=True)
+    t = bpe.load(tokenizer_path())
+    assert list(whole["ids"]) == [t.encode(x) for x in texts] and list(whole["decoded"]) == [t.decode(t.encode(x)) for x in texts]
