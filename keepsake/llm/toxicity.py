@@ -39,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from operator import methodcaller
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,10 @@ FOLDS = 5
 REPEATS = 7
 #: Least margin of a text: that of clean words, also for what holds no word of three characters.
 CLEAN = -1.0
+#: Tokens whose margins a worker remembers before it starts anew.
+REMEMBER = 200_000
 _EDGES = ".,;:!?\"'()[]{}<>#$%&*|-_=~…«»„“”"
+_cleaned = methodcaller("strip", _EDGES)
 _SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 
 
@@ -131,7 +135,7 @@ class Stream:
     """Texts as one row of characters without blanks, from which runs of adjacent words are read."""
 
     def __init__(self, texts: list[str | None]):
-        found = [[w for w in map(clean_word, t.lower().split()) if w] if t else [] for t in texts]
+        found = [list(filter(None, map(_cleaned, t.lower().split()))) if t else [] for t in texts]
         self.joined = "".join("".join(f) for f in found)
         points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), "<u4")
         self.codes = SYMBOLS.astype(np.uint8)[np.minimum(points, 0x2FFF)]
@@ -193,6 +197,7 @@ class Machine:
 
     def __init__(self, weights: np.ndarray, offset: float, logistic: np.ndarray):
         self.weights, self.offset, self.logistic = weights, offset, logistic
+        self.known: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.offset)
@@ -200,7 +205,14 @@ class Machine:
             out[which] += _dot(self.weights[code], weight)
         return out
 
-    def token_margins(self, found: list[str]) -> dict[str, float]:
+    def token_margins(self, found: set[str]) -> dict[str, float]:
+        """Margins of tokens and of those remembered; words repeat, so each is mostly computed once."""
+        if len(self.known) >= REMEMBER:
+            self.known = {}
+        self.known.update(self._token_margins(list(found.difference(self.known))))
+        return self.known
+
+    def _token_margins(self, found: list[str]) -> dict[str, float]:
         short, owner = [], []
         for i, t in enumerate(found):
             for w in windows_of(clean_word(t)):
@@ -223,7 +235,7 @@ class Machine:
         """Margins triple by triple, over blocks that fit a processor's cache."""
         out = np.empty(len(at))
         table = self.weights.astype(np.float32, copy=False)
-        norm = triples(n + 2)[2]
+        take, norm = table.take, triples(n + 2)[2]
         for k in range(0, len(at), block):
             part = at[k:k + block]
             s = [START, *(stream.codes[part + i].astype(np.int64) for i in range(n)), STOP]
@@ -234,11 +246,18 @@ class Machine:
                     pair = (s[i] * ALPHABET + s[j]) * ALPHABET
                     for m in range(j + 1, n + 2):
                         np.add(pair, s[m], out=code)
-                        np.take(table, code, out=got, mode="clip")
+                        take(code, out=got, mode="clip")
                         sums[m - i] += got
             out[k:k + block] = _dot(sums.T, DECAY ** np.arange(1.0, n + 3) / norm) + self.offset
         return out
 
+    def largest_run_margins(self, stream: Stream, texts: int) -> np.ndarray:
+        """Of each text the largest margin of a run, -inf without runs."""
+        best = np.full(texts, -np.inf)
+        for owner, at, n in stream.runs():
+            np.maximum.at(best, owner, self.run_margins(stream, at, n))
+        return best
+
     def best_runs(self, stream: Stream, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the largest margin of a run (-inf without runs), and that run's place and length."""
         best, place, length = np.full(texts, -np.inf), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
@@ -253,18 +272,14 @@ class Machine:
     def document_margins(self, texts: list[str | None]) -> np.ndarray:
         """The two largest margins of each text's words, or its best run's and best word's if the run's is larger."""
         sets = [tokens(t) if t else set() for t in texts]
-        of = self.token_margins(list(set().union(*sets))) if sets else {}
+        of = self.token_margins(set().union(*sets))
         out = np.full((len(texts), 2), CLEAN)
         for i, s in enumerate(sets):
-            first = second = CLEAN
-            for t in s:
-                m = of[t]
-                if m > first:
-                    first, second = m, first
-                elif m > second:
-                    second = m
-            out[i] = first, second
-        runs = np.concatenate([self.best_runs(Stream(t), len(t))[0] for t in _chunks(texts)] or [np.zeros(0)])
+            margins = [CLEAN, CLEAN, *map(of.__getitem__, s)]
+            first = max(margins)
+            margins.remove(first)
+            out[i] = first, max(margins)
+        runs = np.concatenate([self.largest_run_margins(Stream(t), len(t)) for t in _chunks(texts)] or [np.zeros(0)])
         beaten = runs > out[:, 0]
         out[beaten] = np.column_stack([runs, out[:, 0]])[beaten]
         return out

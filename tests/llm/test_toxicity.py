@@ -175,3 +175,16 @@ def test_scoring_leaves_blas_threads_alone(monkeypatch):
     got = m.margins(words)
     want = [0.2 + float(np.asarray(m.weights)[c].astype(float) @ w) for _, code, w in tox.codes_by_length(words) for c in code]
     assert np.allclose(got, want)
+
+
+def test_margins_of_tokens_are_remembered(monkeypatch):
+    m = tox.Machine(np.random.default_rng(1).normal(size=tox.ALPHABET ** 3), 0.2, np.zeros(3))
+    texts = ["some words, some of them twice", None, "", "a b", "more words of 16charactersandmorethanthat"]
+    first = m.document_margins(texts)
+    asked = []
+    monkeypatch.setattr(m, "margins", lambda words: asked.extend(words) or np.zeros(len(words)))
+    assert np.array_equal(m.document_margins(texts), first) and not asked
+    monkeypatch.undo()
+    monkeypatch.setattr(tox, "REMEMBER", 3)
+    assert np.array_equal(m.document_margins(texts[::-1])[::-1], first)
+    assert np.array_equal(m.document_margins([]), np.zeros((0, 2)))
