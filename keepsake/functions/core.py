@@ -104,11 +104,6 @@ def keyword_haystack(text="text", hashtags="hashtags", links="links", handle="au
                        F.lower(F.coalesce(_c(handle), F.lit(""))))
 
 
-def text_grams(text: Column, size: int) -> Column:
-    """The distinct substrings of ``size`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * size}))"), F.lit(1)))
-
-
 def search_haystack() -> Column:
     """text, summary, topic, handle, name, tags joined by one space, lower-cased."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in

@@ -106,3 +106,43 @@ def test_rules_that_their_key_decides_need_no_haystack(spark):
     posts = posts_df(spark, [post(1, text="inflación rust ai"), post(2, text="inflacion trust xaix"), post(3, text="ınflac ruſt")])
     cats = [(p, [p], []) for p in made if "y" not in p]
     assert _rows(RI.category_points(posts, R.rules_frame(spark, cats))) == _rows(R.category_points(posts, cats))
+
+
+def test_a_key_travels_once_a_block(spark):
+    """Only rules' keys are exchanged, with the numbers of the posts that hold them, not a row for every post and text."""
+    texts = ["rust in new yorks", "trust, and no rust", "ınflac ruſt", "", "é new york"] * 20
+    hays = spark.createDataFrame(list(enumerate(texts)), "row long, hay string").coalesce(1)
+    keys = spark.createDataFrame([("w:rust",), ("t:new york",), ("t:inflac",), ("t:trust",), ("t:é",), ("w:never",)], "key string")
+    found = {(r.key, r.block): r["at"] for r in RI.postings(hays, keys).collect() if r.key in {k.key for k in keys.collect()}}
+    of = {"w:rust": (0, 1, 2), "t:new york": (0, 4), "t:inflac": (2,), "t:trust": (1,), "t:é": (4,)}
+    assert found == {(k, 0): [n for n in range(100) if n % 5 in at] for k, at in of.items()}
+    far = hays.selectExpr("row * 30000 as row", "hay")
+    assert {r.block + x for r in RI.postings(far, keys).collect() if r.key == "t:é" for x in r["at"]} == {
+        n * 30000 for n in range(100) if n % 5 == 4}
+
+
+def test_texts_are_found_across_windows(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(RI, "WINDOW", 7)
+    texts = ["ai", "ção", "inflación", "inflac", "x"]
+    sizes = sorted({len(x.encode()) for x in texts})
+    told = RI.KeyMap(b"\xff" * (1 << 13), True, sizes)  # lets all through
+    hays = ["", "a inflación maior", "não", "é" * 9, "", "x"]
+    hay, cut = told.known_texts(pa.array(hays))
+    want = {(n, t) for n, h in enumerate(hays) for t in texts if t in h}
+    assert {x for x in zip(hay.tolist(), cut.to_pylist()) if x[1] in texts} == want
+    assert all(t is None or t in hays[n] for n, t in zip(hay.tolist(), cut.to_pylist()))
+    words = pa.array(["aa", "", "b" * 40, "aa"])
+    data, ends = RI._text_bytes(words)
+    whole = RI._Rolling(data).of(ends[:-1], ends[1:])
+    assert whole[0] == whole[3] and len(np.unique(whole)) == 3 and told.known_words(words).all()
+    assert not RI.KeyMap(bytes(1 << 13), True, sizes).known_words(words).any()
+
+
+def test_plain_patterns_have_the_keys_of_the_long_way():
+    for p in (r"\brust\b", r"rust\b", "ai", "Straße", "inflación", "x_1", "σας", r"\Bai", r"\bai", "ıt", "new york", r"\bnew york\b", "İx"):
+        made, (decided, regex, keys) = RI.compile_pattern(p), RI.rule_keys(p)
+        assert decided == bool(made["sure"] or made["bare"]) and regex == (None if decided else made["regex"])
+        assert keys == (made["literals"][0] if made["sure"] and not made["bare"] else [f"t:{x}" for x in made["any_of"]])
