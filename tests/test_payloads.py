@@ -85,6 +85,25 @@ def test_a_level_parses_a_container_once(spark, monkeypatch):
     assert not any("parse_json" in p.split("transform(")[-1] for p in plans if "inline(" in p)
 
 
+def test_payloads_are_written_once_for_many_levels(spark, monkeypatch):
+    from keepsake.sources import payloads as P
+
+    held = '{"x": {"tweet_results": {"result": {"rest_id": "%s"}}}}'
+    texts = ['{"a": [' * depth + held % k + ', ' + held % (k + 3) + ']}' * depth for k, depth in enumerate((4, 0, 2))]
+    sizes, really = [], P.written
+    monkeypatch.setattr(P, "written", lambda df: sizes.append(None) or really(df))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if k != 1], "n int, value string")
+    flat = expand_results(df)
+    assert len(sizes) == 1 and "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "LEVELS", 6)  # deeper ones take another step
+    again = expand_results(df)
+    assert len(sizes) == 3
+    want = [(r.n, r.pos, json.loads(r.result)["rest_id"], r.value) for r in extract_results(df).orderBy("n", "pos").collect()]
+    for found in (flat, again):
+        assert [(r.n, r.pos, json.loads(r.result)["rest_id"], r.value) for r in found.orderBy("n", "pos").collect()] == want
+    assert len(want) == 4
+
+
 def test_payloads_go_to_python_in_small_batches(spark):
     plan = extract_results(spark.createDataFrame([(NESTED,)], "value string"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
