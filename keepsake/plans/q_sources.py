@@ -252,7 +252,8 @@ def written_documents(spark, documents) -> str:
     """
     base = scratch_dir(spark)
     indented = F.replace(F.replace(F.col("value"), F.lit('}, {"'), F.lit('},\n  {\n    "')), F.lit("], "), F.lit("],\n  "))
-    (documents.select(indented.alias("value"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file costs its opening, however few bytes a task would have
+    (documents.repartition(spread, "path").select(indented.alias("value"))
      .write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(base))
     return base
 

@@ -177,8 +177,10 @@ def read_captures(spark: SparkSession, paths, fmt: str | None = None, large: int
 # -- documents larger than a task ---------------------------------------------------------
 
 
-def _numbered(spark: SparkSession, paths, rows: DataFrame) -> DataFrame:
-    """``rows`` with the ``file_ord`` of their path."""
+def _numbered(spark: SparkSession, paths, rows: DataFrame, given: bool = False) -> DataFrame:
+    """``rows`` with the ``file_ord`` of their path: the column ``given`` if that is known."""
+    if given:
+        return rows.withColumnRenamed("given", "file_ord")
     return rows.join(file_list(spark, paths).select("file_ord", "path"), "path")
 
 
@@ -272,13 +274,12 @@ def mapping_entries(files: DataFrame) -> DataFrame:
 
 def large_mapping_entries(spark: SparkSession, paths, files: tuple[list[str], int]) -> DataFrame:
     """As :func:`mapping_entries` for large files: members of an object, or elements of a list."""
-    rows = elements(spark, *files)
-    listed = rows.where("name is null").withColumn("e", F.parse_json("text"))
-    e = F.col("e")
-    listed = listed.where(is_object(e) & truthy(vget(e, "$.id"))).select("path", "pos", text(vget(e, "$.id")).alias("id"), "e")
-    keyed = rows.where("name is not null and pos is null and text is not null").withColumn("e", F.parse_json("text"))
-    keyed = keyed.where(is_object(e)).select("path", F.col("member").alias("pos"), F.col("name").alias("id"), "e")
-    found = _numbered(spark, paths, listed.unionByName(keyed))
+    rows = elements(spark, *files, inner=False).where("text is not null").withColumn("e", F.parse_json("text"))
+    e, listed = F.col("e"), F.col("name").isNull()
+    rows = rows.where(is_object(e) & (~listed | truthy(vget(e, "$.id")))).select(
+        "path", "given", F.when(listed, F.col("pos")).otherwise(F.col("member")).alias("pos"),
+        F.when(listed, text(vget(e, "$.id"))).otherwise(F.col("name")).alias("id"), "e")
+    found = _numbered(spark, paths, rows, given=files[1] > 0)
     return _entry_columns(found).withColumn("pos", F.col("pos").cast("int"))
 
 

@@ -17,7 +17,11 @@ Items are the elements of a top-level list; for a top-level object the members,
 the elements of a member that is a list.  Each has its text, so whoever needs it
 parses it alone.  An item must fit into a row, a document needn't.
 
-The driver holds one short row per split (128 MB of text by default).
+A file that is certainly one split (no larger than what Spark counts for opening a file) needs none of
+that: it begins outside of everything, and its end is checked by the task that cuts it.
+Many small files share a task.
+
+The driver holds one short row per split (128 MB of text by default) of the others.
 
 Defined results: a file that begins with neither a list nor an object gives no items;
 a document that ends in a string or with open brackets, and text where an item should
@@ -52,6 +56,7 @@ _MARK = _STEP != 0
 _MARK[ord(",")] = True
 #: What a piece lies between: begin of file, brackets and commas of a list, of an object, of a member's list; end.
 START, LIST, ITEM, OBJECT, MEMBER, INNER, INNER_ITEM, INNER_END, END = "^", "[", "i", "{", "m", "a", "e", "z", "E"
+AFTER_END = "$"
 
 
 def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -80,8 +85,8 @@ def followed(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, bytes]:
     return close + more - len(opened), then
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """(path and first byte of the split, text): the pieces between commas put together again, batch by batch."""
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], tuple[int | None, bool], bytes]]:
+    """(path and first byte of the split, given and alone of its file, text): the pieces between commas put together again, batch by batch."""
     seen = None
     for b in batches:
         paths, starts = b.column("path").to_pylist(), b.column("block").to_pylist()
@@ -94,7 +99,7 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
             here = (paths[at], starts[at])
             # a comma stands before every piece but a file's first
             first = b"" if here != seen and starts[at] == 0 else b","
-            yield here, first + b",".join(values[at:upto])
+            yield here, (b.column("given")[at].as_py(), b.column("alone")[at].as_py()), first + b",".join(values[at:upto])
             seen, at = here, upto
 
 
@@ -104,7 +109,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "path": place[0], "block": place[1], "begin": begin, "odd": odd, "closed": [s[0] for s in sides],
             "opened": [s[1].decode() for s in sides]}], schema=_SUMMARY)
     here, begin, odd, sides = None, "", False, []
-    for place, text in _splits(batches):
+    for place, _, text in _splits(batches):
         if place != here:
             if here is not None:
                 yield row(here, begin, odd, sides)
@@ -121,7 +126,8 @@ _BLANK = b" \t\r\n\xef\xbb\xbf"
 _SUMMARY = pa.schema([("path", pa.string()), ("block", pa.int64()), ("begin", pa.string()), ("odd", pa.bool_()),
                       ("closed", pa.list_(pa.int64())), ("opened", pa.list_(pa.string()))])
 _PIECE = pa.schema([("path", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("members", pa.int64()),
-                    ("after", pa.string()), ("before", pa.string()), ("text", pa.string())])
+                    ("after", pa.string()), ("before", pa.string()), ("text", pa.string()), ("given", pa.int64()),
+                    ("alone", pa.bool_())])
 
 
 def begin_states(summaries) -> dict[tuple[str, int], tuple[bool, bytes]]:
@@ -153,8 +159,9 @@ def _must_end(path: str | None, inside: bool, stack: bytes) -> None:
 class _Cutter:
     """Cuts one split's text into pieces, given the state in which it begins."""
 
-    def __init__(self, place: tuple[str, int], state: tuple[bool, bytes]):
+    def __init__(self, place: tuple[str, int], state: tuple[bool, bytes], given: int | None = None, alone: bool = False):
         self.path, self.block = place
+        self.given, self.alone = given, alone
         self.inside, self.stack = state
         self.k = self.members = 0
         self.after = START if self.block == 0 else None
@@ -194,28 +201,40 @@ class _Cutter:
             self.members += kind in (ITEM, MEMBER)
         self.parts.append(text[begin:])
         closed, opened = left_open(chars)
+        if closed > len(self.stack):
+            raise ValueError(BROKEN + self.path)
         self.stack = self.stack[:len(self.stack) - closed] + opened
         self.inside = self.inside != more
 
     def _piece(self, before: str | None) -> dict:
         text, self.parts = b"".join(self.parts), []
         return {"path": self.path, "block": self.block, "k": self.k, "members": self.members, "after": self.after,
-                "before": before, "text": text.decode()}
+                "before": before, "text": text.decode(), "given": self.given, "alone": self.alone}
 
     def rest(self) -> dict:
-        return self._piece(None)
+        if self.alone:
+            _must_end(self.path, self.inside, self.stack)
+        return self._piece(AFTER_END if self.alone else None)
 
 
 def _pieces(states):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, here, rows, size = None, None, [], 0
-        for place, text in _splits(batches):
-            if place not in states.value:
-                continue
+        cutter, here, rows, size, blank = None, None, [], 0, b""
+        for place, (given, alone), text in _splits(batches):
             if place != here:
                 if cutter is not None:
                     rows.append(cutter.rest())
-                cutter, here = _Cutter(place, states.value[place]), place
+                cutter, here, blank = None, place, b""
+                if not alone and place in states.value:
+                    cutter = _Cutter(place, states.value[place], given)
+            if alone and cutter is None and blank is not None:
+                text = blank + text
+                begin = text.lstrip(_BLANK)[:1]
+                # a file of plain text is left out; of one that begins with blanks more is to be seen
+                cutter = _Cutter(place, (False, b""), given, True) if begin in (b"[", b"{") else None
+                blank = None if begin else text
+            if cutter is None:
+                continue
             rows.extend(cutter.feed(text))
             size += len(text)
             if size > 4 << 20:
@@ -227,17 +246,32 @@ def _pieces(states):
     return run
 
 
+def _alone(spark: SparkSession) -> int:
+    """Bytes up to which a file is never split by Spark's readers."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+
+
+def _tasks(spark: SparkSession, paths) -> int:
+    """Tasks for the text under some paths by its size: small files count by their bytes here, not by those for opening them."""
+    size = sum(int(spark.read.text(p)._jdf.queryExecution().analyzed().stats().sizeInBytes()) for p in path_list(paths))
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // most))
+
+
 def large_text(spark: SparkSession, paths, sep: str, least: int = 0) -> DataFrame:
     """The text between separators, of files of at least ``least`` bytes: paths and folders as given, not a list of files."""
     read = spark.read.option("lineSep", sep)
     frames = [read.text(p).where(F.col("_metadata.file_size") >= least) for p in path_list(paths)] if least else [read.text(paths)]
     return reduce(DataFrame.unionByName, [f.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value") for f in frames])
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value",
+        F.lit(i if least else None).cast("bigint").alias("given"), F.col("_metadata.file_size").alias("size")) for i, f in enumerate(frames)])
 
 
 def _fragments(spark: SparkSession, paths, least: int = 0) -> DataFrame:
-    """(path, block, value): the text between commas; a split's rows come in order, in one task."""
-    return large_text(spark, paths, ",", least).select("path", "block", "value")
+    """(path, block, value, given, alone): the text between commas; a split's rows come in order, in one task."""
+    return large_text(spark, paths, ",", least).select(
+        "path", "block", "value", "given", (F.col("size") <= _alone(spark)).alias("alone"))
 
 
 def file_list(spark: SparkSession, paths) -> DataFrame:
@@ -248,31 +282,39 @@ def file_list(spark: SparkSession, paths) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def elements(spark: SparkSession, paths, least: int = 0) -> DataFrame:
-    """(path, member, name, pos, text): the items of each file's document, of files of at least ``least`` bytes.
+def elements(spark: SparkSession, paths, least: int = 0, inner: bool = True) -> DataFrame:
+    """(path, member, name, pos, text, given): the items of each file's document, of files of at least ``least`` bytes.
 
-    No file may be under two of the paths if ``least`` is given (see :func:`large_files`).  ``name`` is null for the elements of a top-level list, else the member's key; ``pos``
+    No file may be under two of the paths if ``least`` is given (see :func:`large_files`); then ``given``
+    is the number of the path that the file is under.  ``name`` is null for the elements of a top-level list, else the member's key; ``pos``
     counts the elements of a list from 0 and is null for a member itself.  A member that
-    is a list has a row with null ``text``, and one per element.
+    is a list has a row with null ``text``, and one per element if ``inner``.
     """
     ship_package(spark)
     fragments = _fragments(spark, paths, least)
-    states = begin_states(fragments.mapInArrow(
+    tasks = _tasks(spark, paths)
+    states = begin_states(fragments.where("not alone").coalesce(tasks).mapInArrow(
         _summaries, "path string, block long, begin string, odd boolean, closed array<long>, opened array<string>").collect())
     told = spark.sparkContext.broadcast(states)
-    pieces = written(fragments.mapInArrow(
-        _pieces(told), "path string, block long, k long, members long, after string, before string, text string"))
-    counts = pieces.groupBy("path", "block").agg(F.max("k").alias("cuts"), F.max("members").alias("members")).collect()
-    bases = spark.createDataFrame(_bases(counts), "path string, block long, base long, member_base long")
-    placed = pieces.join(F.broadcast(bases), ["path", "block"]).select(
-        "path", "block", (F.col("base") + F.col("k")).alias("e"), (F.col("member_base") + F.col("members")).alias("member"),
-        "after", "before", "text")
-    whole = F.col("after").isNotNull() & F.col("before").isNotNull()
-    across = (placed.where(~whole).groupBy("path", "e").agg(
-        F.min("member").alias("member"), F.max("after").alias("after"), F.max("before").alias("before"),
-        F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"))
-        .select("path", "e", "member", "after", "before", F.array_join("parts.text", "").alias("text")))
-    return _items(placed.where(whole).drop("block").unionByName(across))
+    pieces = written(fragments.coalesce(tasks).mapInArrow(
+        _pieces(told), "path string, block long, k long, members long, after string, before string, text string, "
+                       "given long, alone boolean"))
+    # mine: what a later step checks, which may come before the filter on it
+    cols = ["path", "e", "member", "after", "before", "text", "given", "mine"]
+    placed = pieces.withColumns({"e": F.col("k"), "member": F.col("members"), "mine": F.col("alone")}).select(cols)
+    if states:
+        counts = pieces.where("not alone").groupBy("path", "block").agg(F.max("k").alias("cuts"), F.max("members").alias("members")).collect()
+        bases = spark.createDataFrame(_bases(counts), "path string, block long, base long, member_base long")
+        split = pieces.where("not alone").join(F.broadcast(bases), ["path", "block"]).select(
+            "path", "block", (F.col("base") + F.col("k")).alias("e"), (F.col("member_base") + F.col("members")).alias("member"),
+            "after", "before", "text", "given", "alone")
+        whole = F.col("after").isNotNull() & F.col("before").isNotNull()
+        across = (split.where(~whole & ~F.col("alone")).groupBy("path", "e").agg(
+            F.min("member").alias("member"), F.max("after").alias("after"), F.max("before").alias("before"),
+            F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"), F.max("given").alias("given"))
+            .withColumns({"text": F.array_join("parts.text", ""), "mine": F.lit(True)}))
+        placed = placed.unionByName(split.withColumn("mine", whole & ~F.col("alone")).select(cols)).unionByName(across.select(cols))
+    return _items(placed, inner)
 
 
 def _bases(counts) -> list[tuple[str, int, int, int]]:
@@ -285,7 +327,7 @@ def _bases(counts) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def _items(pieces: DataFrame) -> DataFrame:
+def _items(pieces: DataFrame, inner: bool = True) -> DataFrame:
     after, before, body = F.col("after"), F.col("before"), strip_ws(F.col("text"))
     blank = body == ""
     nothing = blank & ((after.isin(LIST, OBJECT) & before.eqNullSafe(END)) | ((after == INNER) & before.eqNullSafe(INNER_END)))
@@ -293,25 +335,26 @@ def _items(pieces: DataFrame) -> DataFrame:
     bad = F.when(outside & after.isin(END, INNER_END), ~blank).when(outside, F.lit(False)).otherwise(blank & ~nothing)
     broken = F.raise_error(F.concat(F.lit(BROKEN), F.col("path"))).cast("boolean")
     # in the filter, where no later step can skip it
-    checked = pieces.where(F.when(F.coalesce(bad, F.lit(True)), broken).otherwise(~(outside | F.coalesce(nothing, F.lit(False)))))
+    checked = pieces.where(F.when(~F.col("mine"), F.lit(False)).when(F.coalesce(bad, F.lit(True)), broken).otherwise(~(outside | F.coalesce(nothing, F.lit(False)))))
     of_object = after.isin(OBJECT, MEMBER)
     opens = of_object & (before == INNER)
     one = F.concat(F.lit("{"), F.col("text"), F.when(opens, F.lit("null")).otherwise(F.lit("")), F.lit("}"))
     parsed = F.when(of_object, F.try_variant_get(F.parse_json(one), "$", "map<string,variant>"))
     rows = checked.select("path", "e", "member", "after", opens.alias("opens"), F.col("text"),
-                          F.get(F.map_entries(parsed), 0).alias("entry"))
-    members = rows.where(F.col("entry").isNotNull()).select(
-        "path", "member", "e", F.col("entry.key").alias("name"),
-        F.when(~F.col("opens"), F.to_json("entry.value")).alias("text"))
-    inner = rows.where(F.col("after").isin(INNER, INNER_ITEM)).select("path", "member", "e", "text")
-    heads = members.where("text is null").select("path", "member", "name", F.col("e").alias("head"))
-    from_members = inner.join(heads, ["path", "member"]).select(
-        "path", "member", "name", (F.col("e") - F.col("head") - 1).alias("pos"), "text")
-    top = rows.where(F.col("after").isin(LIST, ITEM)).select(
-        "path", F.lit(0).cast("long").alias("member"), F.lit(None).cast("string").alias("name"),
-        (F.col("e") - 1).alias("pos"), "text")
-    return (top.unionByName(from_members)
-            .unionByName(members.select("path", "member", "name", F.lit(None).cast("long").alias("pos"), "text")))
+                          F.get(F.map_entries(parsed), 0).alias("entry"), "given")
+    listed = F.col("after").isin(LIST, ITEM)
+    items = rows.where(listed | F.col("entry").isNotNull()).select(  # elements of a list and members in one pass
+        "path", F.when(listed, F.lit(0)).otherwise(F.col("member")).cast("long").alias("member"), F.col("entry.key").alias("name"),
+        F.when(listed, F.col("e") - 1).alias("pos"),
+        F.when(listed, F.col("text")).when(~F.col("opens"), F.to_json("entry.value")).alias("text"), "given", "e")
+    # by their text: a filter on ``opens`` would be told to the check above, which then fails others
+    heads = items.where("name is not null and pos is null and text is null").select("path", "member", "name", F.col("e").alias("head"))
+    items = items.drop("e")
+    if not inner:
+        return items
+    within = rows.where(F.col("after").isin(INNER, INNER_ITEM)).select("path", "member", "e", "text", "given")
+    return items.unionByName(within.join(heads, ["path", "member"]).select(
+        "path", "member", "name", (F.col("e") - F.col("head") - 1).alias("pos"), "text", "given"))
 
 
 def large_files(spark: SparkSession, paths, least: int = LARGE) -> tuple[list[str], int] | None:
@@ -320,7 +363,8 @@ def large_files(spark: SparkSession, paths, least: int = LARGE) -> tuple[list[st
     The paths as given, which the reader lists itself; only if some file is under two of
     them, the files, as a reader takes them.
     """
-    files = file_list(spark, paths).where(F.col("length") >= least).groupBy("path").count()
+    listed = file_list(spark, paths).where(F.col("length") >= least)
+    files = listed.coalesce(2 * spark.sparkContext.defaultParallelism).groupBy("path").count()  # only names and lengths
     most = files.agg(F.max("count")).first()[0]
     if most is None:
         return None

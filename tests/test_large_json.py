@@ -170,3 +170,28 @@ def test_documents_are_written_into_one_folder(spark):
     base = written_documents(spark, docs).removeprefix("file:")
     assert not [n for n in os.listdir(base) if os.path.isdir(os.path.join(base, n))]
     assert len([n for n in os.listdir(base) if n.endswith(".txt")]) == 30
+
+
+def test_small_files_share_tasks_and_need_no_states(spark, tmp_path, monkeypatch):
+    """Files that are one split are cut in one pass, by few tasks; nothing of them comes to the driver."""
+    folders = [str(tmp_path / n) for n in "ab"]
+    for f in "ab":
+        (tmp_path / f).mkdir()
+    for k in range(60):
+        (tmp_path / "a" / f"{k}.json").write_text(" \n " * (k % 3) + json.dumps({f"i{k}": {"summary": f"s, {k}"}, "l": [1, {"x": [k]}], "j": k}))
+        (tmp_path / "b" / f"{k}.json").write_text(json.dumps([{"id": f"i{k}", "topic": "later"}] * (k % 2) + [k]))
+    (tmp_path / "b" / "urls.txt").write_text("  \n  https://a, b\n[1]")
+    seen, really, plans, write = [], L.begin_states, [], L.written
+    monkeypatch.setattr(L, "begin_states", lambda rows: seen.append(rows) or really(rows))
+    monkeypatch.setattr(L, "written", lambda df: plans.append(df.rdd.getNumPartitions()) or write(df))
+    assert len([str(r) for r in L.elements(spark, folders, 1).collect()]) == 60 * 3 + 60 * 2 + 30 + 60
+    assert seen == [[]] and plans[0] <= 2 * spark.sparkContext.defaultParallelism
+    got = [sorted(map(str, X.load_mapping(spark, paths, large=n).select("id", "summary", "topic").collect()))
+           for n in (1, 1 << 20) for paths in (folders, [folders[0], folders[1] + "/[0-9]*.json"]) if n == 1 or "*" in paths[1]]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
+    for k, text in enumerate(('[1, 2', '{"a": [1, 2}', '["a, 1]', '[1, 2] , 3', "[1,, 2]", "[1]]")):
+        path = _write(str(tmp_path), f"bad{k}.json", text)
+        with pytest.raises(Exception, match=L.BROKEN):
+            L.elements(spark, path).collect()
+    for k, text in enumerate(("[]", "{}", " [ ] ", "", "just, text")):
+        assert L.elements(spark, _write(str(tmp_path), f"none{k}.json", text)).count() == 0
